@@ -85,7 +85,7 @@ def normalize_unicode(c: Column) -> Column:
 
 def normalize_whitespace(c: Column) -> Column:
     """Unix line ends, single blanks, trimmed lines, no empty lines."""
-    c = F.regexp_replace(F.regexp_replace(text_or_empty(c), r"\r\n?", "\n"), r"[ \t]+", " ")
+    c = F.regexp_replace(F.regexp_replace(text_or_empty(c), r"\r\n?", "\n"), r"[ \t]{2,}|\t", " ")
     return strip(F.regexp_replace(c, f"[{WS}]*\\n[{WS}]*", "\n"))
 
 
