@@ -256,7 +256,7 @@ def paragraph_answer(c: Column) -> Column:
             | x.contains("\n")
         )
         parts = F.filter(
-            F.transform(F.split(x, r"(?<=[.!?])\s+(?=\S)"), strip), lambda s: s != ""
+            F.transform(F.split(x, r"(?<=[.!?])\s+(?=\S)"), lambda s: strip(s)), lambda s: s != ""
         )
 
         def pairs(p: Column) -> Column:
