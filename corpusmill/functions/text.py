@@ -18,8 +18,14 @@ from corpusmill import vocab
 
 _ICU = "com.ibm.icu.text.Normalizer"
 # Characters that str.strip() and \s treat as white space (Unicode).
-WS = r"\t\n\x0B\f\r\x1C-\x20\x85   -     　"
-_DROPPED = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F​-‍]"
+# Written as ranges only: mixed with single characters, a class is far slower.
+WS = (
+    r"\t-\r\x1C-\x20\x{85}-\x{85}\x{A0}-\x{A0}\x{1680}-\x{1680}\x{2000}-\x{200A}"
+    r"\x{2028}-\x{2029}\x{202F}-\x{202F}\x{205F}-\x{205F}\x{3000}-\x{3000}"
+)
+WS_CHARS = "".join(chr(p) for p in range(0x3001) if chr(p).isspace())
+_NOT_WORD_OR_END = r"[\x00-\t\x0B-/:-`{-\x{10FFFF}]+"
+_DROPPED = r"[\x00-\x08\x0B-\f\x0E-\x1F\x7F-\x7F\x{200B}-\x{200D}]"
 
 
 def _combining_class() -> str:
@@ -56,13 +62,13 @@ def contains_any(c: Column, terms: Iterable[str]) -> Column:
     return out
 
 
-def strip(c: Column, chars: str = WS) -> Column:
-    """``str.strip`` with white space, or with the given regex class body."""
-    return F.regexp_replace(c, f"\\A[{chars}]+|[{chars}]+\\z", "")
+def strip(c: Column, chars: str = WS_CHARS) -> Column:
+    """``str.strip``: only the ends of the text are looked at."""
+    return F.btrim(c, F.lit(chars))
 
 
-def rstrip(c: Column, chars: str = WS) -> Column:
-    return F.regexp_replace(c, f"[{chars}]+\\z", "")
+def rstrip(c: Column, chars: str = WS_CHARS) -> Column:
+    return F.rtrim(c, F.lit(chars))
 
 
 def collapse_blanks(c: Column) -> Column:
@@ -85,7 +91,8 @@ def normalize_unicode(c: Column) -> Column:
 
 def normalize_whitespace(c: Column) -> Column:
     """Unix line ends, single blanks, trimmed lines, no empty lines."""
-    c = F.regexp_replace(F.regexp_replace(text_or_empty(c), r"\r\n?", "\n"), r"[ \t]{2,}|\t", " ")
+    c = F.translate(F.regexp_replace(text_or_empty(c), r"\r\n?", "\n"), "\t", " ")
+    c = F.regexp_replace(c, " {2,}", " ")
     return strip(F.regexp_replace(c, f"[{WS}]*\\n[{WS}]*", "\n"))
 
 
@@ -105,23 +112,28 @@ def normalize_query(c: Column) -> Column:
     return collapse_blanks(nfc(text_or_empty(c)))
 
 
-def _guarded(c: Column, rules: list[tuple[str, str]], flags: str) -> Column:
-    """Chain of replacements behind one test, as most texts need none of them."""
-    any_of = "|".join(f"(?:{pattern})" for pattern, _ in rules)
+def _chain(c: Column, rules: list[tuple[str, str]], flags: str) -> Column:
+    for pattern, replacement in rules:
+        c = F.regexp_replace(c, flags + pattern, replacement)
+    return c
 
-    def apply(text: Column) -> Column:
-        chain = text
-        for pattern, replacement in rules:
-            chain = F.regexp_replace(chain, flags + pattern, replacement)
-        return F.when(text.rlike(flags + any_of), chain).otherwise(text)
 
-    return let(c, apply)
+def fix_ocr(c: Column) -> Column:
+    """Dictionary of common recognition errors.
 
+    Most texts need none of the replacements, so both chains stand behind a
+    cheap test for a fragment that each rule needs.
+    """
+
+    def words(text: Column) -> Column:
+        needed = contains_any(F.lower(text), vocab.OCR_FIX_STEMS)
+        return F.when(needed, _chain(text, vocab.OCR_FIXES, "(?iuU)")).otherwise(text)
+
+    def digits(text: Column) -> Column:
+        needed = text.rlike(vocab.OCR_DIGIT_STEMS)
+        return F.when(needed, _chain(text, vocab.OCR_DIGIT_FIXES, "(?U)")).otherwise(text)
 
-def fix_ocr(c: Column, fixes=None, digit_fixes=None) -> Column:
-    """Dictionary of common recognition errors."""
-    fixed = _guarded(text_or_empty(c), fixes or vocab.OCR_FIXES, "(?iuU)")
-    return _guarded(fixed, digit_fixes or vocab.OCR_DIGIT_FIXES, "(?U)")
+    return let(let(text_or_empty(c), words), digits)
 
 
 def _count(c: Column, char_class: str) -> Column:
@@ -178,7 +190,7 @@ def clean_text(c: Column, drop_noise: Column | bool = False) -> Column:
 
     def dedupe(text: Column) -> Column:
         # The text is folded once as a whole; folding keeps the line ends.
-        folded = F.split(F.regexp_replace(F.lower(_unmarked(text)), r"[^0-9a-z\n]+", " "), "\n")
+        folded = F.split(F.regexp_replace(F.lower(_unmarked(text)), _NOT_WORD_OR_END, " "), "\n")
 
         def keyed(keys: Column) -> Column:
             def entry(line: Column, i: Column) -> Column:
@@ -327,7 +339,7 @@ def clean_directive(c: Column) -> Column:
     x = F.regexp_replace(x, r"\||---", " ")
     markers = "|".join(re.escape(m) for m in vocab.CUT_MARKERS)
     x = F.regexp_replace(x, rf"(?s)(?:{markers}).*\z", "")
-    return strip(F.regexp_replace(x, f"[{WS}]+", " "), " \\-;,.")
+    return strip(F.regexp_replace(x, f"[{WS}]+", " "), " -;,.")
 
 
 def capitalize_words(c: Column) -> Column:

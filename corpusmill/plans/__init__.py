@@ -5,7 +5,7 @@ from __future__ import annotations
 
 def all_queries():
     """Every registered query, by name."""
-    from corpusmill.plans import text_queries  # noqa: F401
+    from corpusmill.plans import table_queries, text_queries  # noqa: F401
     from corpusmill.plans.registry import REGISTRY
 
     return REGISTRY

@@ -10,6 +10,9 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusmill.operators.numbering import dense_index
 
 CTES: dict[str, str] = {}
 
@@ -165,6 +168,56 @@ WHERE m.role = 'ai'
 """
 
 
+# A sheet per supplier and return flag: preamble, header, rows of line items.
+CTES["grids"] = """
+SELECT * FROM (
+  SELECT DISTINCT l_suppkey AS doc_id, l_returnflag AS sheet, 0 AS row_idx, ['Trường', NULL, ' Danh sách ' || l_returnflag, '', NULL] AS cells FROM {lineitem}
+  UNION ALL SELECT DISTINCT l_suppkey, l_returnflag, 1, [NULL, NULL, NULL, NULL, NULL] FROM {lineitem}
+  UNION ALL SELECT DISTINCT l_suppkey, l_returnflag, 2, ['STT', 'Mã sinh viên', NULL, 'Điểm', 'Xếp' || chr(10) || 'loại'] FROM {lineitem}
+  UNION ALL SELECT DISTINCT l_suppkey, l_returnflag, 3, [NULL, '', 'Họ' || chr(10) || 'tên', 'điểm số', NULL] FROM {lineitem} WHERE l_returnflag = 'R'
+  UNION ALL SELECT l_suppkey, l_returnflag, n + CASE WHEN l_returnflag = 'R' THEN 3 ELSE 2 END,
+    [CAST(n AS VARCHAR), '22' || lpad(CAST(l_partkey AS VARCHAR), 8, '0'), CASE WHEN l_linestatus = 'O' THEN NULL ELSE 'SV' || chr(10) || CAST(l_orderkey AS VARCHAR) END,
+     CAST(l_quantity AS VARCHAR), CASE WHEN l_tax > 0.04 THEN 'Tốt' ELSE NULL END]
+  FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey, l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_linestatus, l_tax) AS n FROM {lineitem}))
+"""
+# A table per order with a header row in some; the page follows the order date.
+CTES["table_rows"] = """
+SELECT o_custkey AS doc_id, CAST(year(o_orderdate) * 12 + month(o_orderdate) AS BIGINT) AS page, o_orderkey AS table_no, 0 AS row_idx,
+  CASE WHEN substr(o_orderpriority, 1, 1) < '3' THEN ['STT', 'MSV', 'Họ tên', 'Lớp'] ELSE ['STT', 'Noi dung', 'Số tiền'] END AS cells
+FROM {orders} WHERE o_orderstatus = 'F'
+UNION ALL
+SELECT o_custkey, CAST(year(o_orderdate) * 12 + month(o_orderdate) AS BIGINT), o_orderkey, l_linenumber * 10000000 + l_partkey,
+  CASE WHEN l_quantity < 5 THEN ['', '  ', '---'] ELSE [CAST(l_linenumber AS VARCHAR), '22' || lpad(CAST(l_partkey AS VARCHAR), 8, '0') || ' ', 'Phần  ' || CAST(l_suppkey AS VARCHAR), 'K' || l_returnflag, l_linestatus] END
+FROM (SELECT l_orderkey, l_linenumber, l_partkey, min(l_quantity) AS l_quantity, min(l_suppkey) AS l_suppkey, min(l_returnflag) AS l_returnflag, min(l_linestatus) AS l_linestatus
+      FROM {lineitem} GROUP BY l_orderkey, l_linenumber, l_partkey) JOIN {orders} ON o_orderkey = l_orderkey
+"""
+# An HTML table per line item.
+CTES["scan_tables"] = """
+SELECT l_suppkey AS doc_id, l_orderkey AS page, l_linenumber * 10000000 + l_partkey AS table_no,
+  '<table border=1><tr><td>STT</td><td>' || CASE WHEN min(l_returnflag) = 'R' THEN 'Mã sinh viên' ELSE 'Nội dung' END || '</td><td>Họ &amp; tên sinh viên</td></tr>'
+  || '<tr><td>1</td><td><b>22' || lpad(CAST(l_partkey AS STRING), 8, '0') || '</b></td><td>' || repeat('Khoản thu số ' || CAST(l_orderkey AS STRING) || ' ', 20) || '</td></tr>'
+  || '<tr><td></td><td> </td></tr>'
+  || '<tr><td>2</td><td>23' || lpad(CAST(l_orderkey AS STRING), 8, '0') || '</td><td>' || repeat('Tong cong ', CAST(min(l_quantity) AS INT)) || '</td></tr>'
+  || '<tr><td>3</td><td>x</td><td>' || repeat('cuối ', 60) || '</td></tr></table>' AS html
+FROM {lineitem} GROUP BY l_suppkey, l_orderkey, l_linenumber, l_partkey
+"""
+# A box per word of a document: 200 words to a page, jittered heights.
+CTES["ocr_boxes"] = """
+SELECT doc_id, CAST(floor(i / 200) + 1 AS BIGINT) AS page, CAST(i % 8 * 100 AS BIGINT) AS x,
+  CAST(floor((i % 200) / 8) * 25 + length(word) * 7 % 23 AS BIGINT) AS y,
+  CAST(length(word) * 45 AS BIGINT) AS w, CAST(40 + i % 150 AS BIGINT) AS h, word AS text
+FROM (SELECT doc_id, unnest(l) AS word, unnest(range(0, len(l))) AS i
+      FROM (SELECT doc_id, string_split(text, ' ') AS l FROM {documents}))
+"""
+# Oracle only: first height of each text line of a page.
+CTES["anchors"] = """
+SELECT doc_id, page, min(y) AS anchor FROM {ocr_boxes} WHERE trim(text) <> '' GROUP BY doc_id, page
+UNION ALL
+SELECT a.doc_id, a.page, (SELECT min(b.y) FROM {ocr_boxes} b WHERE trim(b.text) <> '' AND b.doc_id = a.doc_id AND b.page = a.page AND b.y > a.anchor + 20)
+FROM anchors a WHERE a.anchor IS NOT NULL
+"""
+
+
 class Tables:
     """Lazy access to the tables below one directory."""
 
@@ -180,8 +233,8 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name in self.BASE:
             return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-        if name == "page_texts":
-            return self._page_texts()
+        if hasattr(type(self), f"_{name}"):
+            return getattr(type(self), f"_{name}")(self)
         if name in CTES:
             return self.sql(CTES[name])
         raise AttributeError(name)
@@ -199,3 +252,52 @@ class Tables:
             " p -> struct(cast(p as bigint) as page,"
             r" array_join(slice(lines, (p - 1) * 20 + 1, 20), '\n') as raw_text))) as s",
         ).select("doc_id", "lang", "source", "s.page", "s.raw_text")
+
+    def _grids(self) -> DataFrame:
+        order = ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_linestatus", "l_tax"]
+        rows = self.lineitem.select("l_suppkey", "l_returnflag", *order)
+        rows = dense_index(rows, ["l_suppkey", "l_returnflag"], order, "n")
+        data = rows.selectExpr(
+            "l_suppkey as doc_id", "l_returnflag as sheet",
+            "n + if(l_returnflag = 'R', 3, 2) as row_idx",
+            r"array(cast(n as string), '22' || lpad(cast(l_partkey as string), 8, '0'),"
+            r" if(l_linestatus = 'O', null, 'SV\n' || cast(l_orderkey as string)),"
+            " cast(l_quantity as string), if(l_tax > 0.04D, 'Tốt', null)) as cells",
+        )
+        sheets = self.lineitem.selectExpr("l_suppkey as doc_id", "l_returnflag as sheet").distinct()
+        top = sheets.selectExpr(
+            "doc_id", "sheet",
+            "inline(array(struct(0L, array('Trường', null, ' Danh sách ' || sheet, '', null)),"
+            " struct(1L, array(cast(null as string), null, null, null, null)),"
+            r" struct(2L, array('STT', 'Mã sinh viên', null, 'Điểm', 'Xếp\nloại')),"
+            r" struct(3L, array(null, '', 'Họ\ntên', 'điểm số', null)))) as (row_idx, cells)",
+        ).where("row_idx < 3 or sheet = 'R'")
+        return top.unionByName(data)
+
+    def _table_rows(self) -> DataFrame:
+        orders = self.orders.selectExpr(
+            "o_custkey as doc_id", "cast(year(o_orderdate) * 12 + month(o_orderdate) as bigint) as page",
+            "o_orderkey as table_no", "o_orderstatus", "substr(o_orderpriority, 1, 1) < '3' as listed",
+        )
+        heads = orders.where("o_orderstatus = 'F'").selectExpr(
+            "doc_id", "page", "table_no", "0L as row_idx",
+            "if(listed, array('STT', 'MSV', 'Họ tên', 'Lớp'), array('STT', 'Noi dung', 'Số tiền')) as cells",
+        )
+        lines = self.lineitem.groupBy("l_orderkey", "l_linenumber", "l_partkey").agg(
+            *[F.min(c).alias(c) for c in ("l_quantity", "l_suppkey", "l_returnflag", "l_linestatus")]
+        )
+        body = lines.join(orders, lines.l_orderkey == orders.table_no).selectExpr(
+            "doc_id", "page", "table_no", "l_linenumber * 10000000L + l_partkey as row_idx",
+            "if(l_quantity < 5, array('', '  ', '---'), array(cast(l_linenumber as string),"
+            " '22' || lpad(cast(l_partkey as string), 8, '0') || ' ', 'Phần  ' || cast(l_suppkey as string),"
+            " 'K' || l_returnflag, l_linestatus)) as cells",
+        )
+        return heads.unionByName(body)
+
+    def _ocr_boxes(self) -> DataFrame:
+        words = self.documents.select("doc_id", F.posexplode(F.split("text", " ")).alias("i", "word"))
+        return words.selectExpr(
+            "doc_id", "cast(floor(i / 200) + 1 as bigint) as page", "cast(i % 8 * 100 as bigint) as x",
+            "cast(floor((i % 200) / 8) * 25 + length(word) * 7 % 23 as bigint) as y",
+            "cast(length(word) * 45 as bigint) as w", "cast(40 + i % 150 as bigint) as h", "word as text",
+        )

@@ -61,6 +61,11 @@ OCR_DIGIT_FIXES = [
     (r"(?i)\bolf\b", "01"),
     (r"(?i)\b0l\b", "01"),
 ]
+# Lower-case fragments without which no rule above applies.
+OCR_FIX_STEMS = [
+    "kh6a", "chuo", "tién", "dién", "nuóc", "uóng", "tong cong", "noi dung", "dai hoc", "ngân", "cá nám",
+]
+OCR_DIGIT_STEMS = r"(?iU)olf|0l|\do[1-9]"
 TABLE_LINE_STARTS = ["STT", "Noi", "Nội", "Khóa", "Khoa"]
 
 # --- fixed values: document metadata rules, first match wins ----------------
