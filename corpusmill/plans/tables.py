@@ -209,6 +209,25 @@ SELECT doc_id, CAST(floor(i / 200) + 1 AS BIGINT) AS page, CAST(i % 8 * 100 AS B
 FROM (SELECT doc_id, unnest(l) AS word, unnest(range(0, len(l))) AS i
       FROM (SELECT doc_id, string_split(text, ' ') AS l FROM {documents}))
 """
+# Every line of a page as a piece; every third one plays a table.
+CTES["pieces"] = """
+SELECT doc_id, page, pos, line AS content, CASE WHEN pos % 3 = 2 THEN 'table_md' ELSE 'text' END AS content_type,
+  CASE WHEN pos % 3 = 2 THEN 'table' ELSE 'text' END AS chunk_type
+FROM (SELECT doc_id, page, unnest(l) AS line, unnest(range(0, len(l))) AS pos
+      FROM (SELECT doc_id, page, string_split(raw_text, chr(10)) AS l FROM {page_texts}))
+"""
+# Upload, delete and restore events of the documents of one source.
+CTES["upload_events"] = """
+SELECT source AS filename, doc_id * 10 AS seq, 'upload' AS kind, doc_id FROM {documents}
+UNION ALL SELECT source, d.doc_id * 10 + 1, 'delete', d.doc_id FROM {documents} d JOIN {labels} l ON l.doc_id = d.doc_id WHERE l.quality = 0 OR l.toxic = 1
+UNION ALL SELECT source, d.doc_id * 10 + 2, 'restore', d.doc_id FROM {documents} d JOIN {labels} l ON l.doc_id = d.doc_id WHERE l.toxic = 1
+"""
+# Documents with validity, one per order.
+CTES["valid_documents"] = """
+SELECT o_orderkey AS id, o_custkey AS doc_id, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderdate END AS effective_date,
+  CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderdate + INTERVAL '200' DAY END AS expiry_date
+FROM {orders}
+"""
 # Oracle only: first height of each text line of a page.
 CTES["anchors"] = """
 SELECT doc_id, page, min(y) AS anchor FROM {ocr_boxes} WHERE trim(text) <> '' GROUP BY doc_id, page
@@ -301,3 +320,10 @@ class Tables:
             "cast(floor((i % 200) / 8) * 25 + length(word) * 7 % 23 as bigint) as y",
             "cast(length(word) * 45 as bigint) as w", "cast(40 + i % 150 as bigint) as h", "word as text",
         )
+
+    def _pieces(self) -> DataFrame:
+        lines = self.page_texts.select("doc_id", "page", F.posexplode(F.split("raw_text", "\n")).alias("pos", "content"))
+        return lines.selectExpr(
+            "doc_id", "page", "pos", "content", "if(pos % 3 = 2, 'table_md', 'text') as content_type",
+            "if(pos % 3 = 2, 'table', 'text') as chunk_type",
+        )

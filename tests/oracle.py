@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 import duckdb
+import pandas as pd
 
 BASE = "/root/testdata"
 
@@ -22,7 +23,7 @@ def _rows(pdf):
     for row in pdf.itertuples(index=False):
         cells = []
         for v in row:
-            if v is None or v != v:
+            if pd.isna(v):
                 cells.append("~null~")
             elif isinstance(v, float):
                 cells.append(f"{v:.9g}")
