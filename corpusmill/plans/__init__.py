@@ -5,7 +5,13 @@ from __future__ import annotations
 
 def all_queries():
     """Every registered query, by name."""
-    from corpusmill.plans import chunk_queries, relational_queries, table_queries, text_queries  # noqa: F401
+    from corpusmill.plans import (  # noqa: F401
+        chunk_queries,
+        relational_queries,
+        search_queries,
+        table_queries,
+        text_queries,
+    )
     from corpusmill.plans.registry import REGISTRY
 
     return REGISTRY

@@ -126,8 +126,8 @@ SELECT * FROM (
     SELECT q.query_id, q.query, n.chunk_uid, n.doc_id, n.chunk_id, n.title, n.doc_number, n.date, n.issuer, n.source,
       n.content, n.content_type, n.chunk_type,
       CASE WHEN n.o_orderkey % 11 = 0 THEN NULL
-           WHEN q.segment = 'MACHINERY' THEN CAST(CAST(n.o_totalprice AS BIGINT) % 500 AS DOUBLE) / 1000
-           ELSE CAST(CAST(n.o_totalprice AS BIGINT) % 1000 AS DOUBLE) / 1000 END AS score
+           WHEN q.segment = 'MACHINERY' THEN CAST(CAST(floor(n.o_totalprice) AS BIGINT) % 500 AS DOUBLE) / 1000
+           ELSE CAST(CAST(floor(n.o_totalprice) AS BIGINT) % 1000 AS DOUBLE) / 1000 END AS score
     FROM (SELECT query_id, query, segment, query_id AS doc_id FROM {questions}
           UNION ALL SELECT query_id, query, segment, query_id + 1 AS doc_id FROM {questions}) q
     JOIN {notices} n ON n.doc_id = q.doc_id) h) r
