@@ -7,6 +7,7 @@ def all_queries():
     """Every registered query, by name."""
     from corpusmill.plans import (  # noqa: F401
         chunk_queries,
+        dialogue_queries,
         relational_queries,
         search_queries,
         table_queries,

@@ -110,16 +110,19 @@ def _(t):
     return R.keyword_search(corpus(t), asked(t))
 
 
+_SEM_DOCS = _SEMANTIC.replace("FROM embeddings, {centroids}", "FROM embeddings, {centroids} WHERE vec_id IN (SELECT doc_id FROM documents)")
+
+
 # Queries of the hybrid search: a label's vector with the words of its benchmark text.
 CTES["hybrid_words"] = "SELECT a.* FROM {asked_words} a JOIN {centroids} c ON c.query_id = a.query_id"
 _HYBRID = f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, src, src_rank, chunk_uid) AS rank FROM (
   SELECT coalesce(k.query_id, s.query_id) AS query_id, coalesce(k.chunk_uid, s.chunk_uid) AS chunk_uid,
     CASE WHEN k.query_id IS NULL THEN 1 ELSE 0 END AS src, coalesce(k.rank, s.rank) AS src_rank,
-    coalesce(least(0.99, 0.8 + 0.15 * CAST(m AS DOUBLE) / greatest(total, 1)), s.score) AS score
+    CASE WHEN k.query_id IS NULL THEN s.score ELSE least(0.99, 0.8 + 0.15 * CAST(m AS DOUBLE) / greatest(total, 1)) END AS score
   FROM (SELECT h.query_id, h.chunk_uid, any_value(h.rank) AS rank, count(*) FILTER (WHERE contains(lower(c.content), lower(w.w))) AS m, count(*) AS total
         FROM ({keyword_sql('{hybrid_words}', '{corpus}')}) h JOIN {{corpus}} c ON c.chunk_uid = h.chunk_uid JOIN {{hybrid_words}} w ON w.query_id = h.query_id
         GROUP BY h.query_id, h.chunk_uid) k
-  FULL OUTER JOIN ({_SEMANTIC}) s ON s.query_id = k.query_id AND s.chunk_uid = k.chunk_uid)) WHERE rank <= 20"""
+  FULL OUTER JOIN ({_SEM_DOCS}) s ON s.query_id = k.query_id AND s.chunk_uid = k.chunk_uid)) WHERE rank <= 20"""
 
 
 def hybrid_inputs(t):
@@ -147,7 +150,7 @@ def _(t):
 
 @query("search_by_strategy", "query_id bigint, chunk_uid string, rank bigint, score double, strategy string", f"""
 SELECT query_id, chunk_uid, rank, NULL AS score, 'keyword' AS strategy FROM ({keyword_sql('{hybrid_words}', '{corpus}')}) WHERE query_id % 3 = 0
-UNION ALL SELECT query_id, chunk_uid, rank, round(score, 6), 'semantic' FROM ({_SEMANTIC}) WHERE query_id % 3 = 1
+UNION ALL SELECT query_id, chunk_uid, rank, round(score, 6), 'semantic' FROM ({_SEM_DOCS}) WHERE query_id % 3 = 1 AND query_id IN (SELECT query_id FROM {{hybrid_words}})
 UNION ALL SELECT query_id, chunk_uid, rank, round(score, 6), 'hybrid' FROM ({_HYBRID}) WHERE query_id % 3 = 2""")
 def _(t):
     chunks, queries = hybrid_inputs(t)

@@ -245,19 +245,32 @@ class Tables:
         "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
     ]
 
+    TEXTS = ["documents", "pages", "conversations", "orders", "embeddings"]
+
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in self.BASE:
-            return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            return self._spread(name, self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet"))
         if hasattr(type(self), f"_{name}"):
             return getattr(type(self), f"_{name}")(self)
         if name in CTES:
             return self.sql(CTES[name])
         raise AttributeError(name)
 
+    def _spread(self, name: str, df: DataFrame) -> DataFrame:
+        """Spread a table of texts that lies in fewer files than there are cores.
+
+        A single small file is read by one task, which then does all the text
+        work. Tables of many files are left as they are.
+        """
+        cores = self.spark.sparkContext.defaultParallelism
+        if name in self.TEXTS and len(df.inputFiles()) < cores:
+            return df.repartition(cores)
+        return df
+
     def sql(self, text: str) -> DataFrame:
         """Spark SQL over given and derived tables written as ``{name}``."""
         names = set(re.findall(r"\{(\w+)\}", text))
