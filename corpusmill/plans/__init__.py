@@ -6,6 +6,7 @@ from __future__ import annotations
 def all_queries():
     """Every registered query, by name."""
     from corpusmill.plans import (  # noqa: F401
+        answer_queries,
         chunk_queries,
         dialogue_queries,
         relational_queries,

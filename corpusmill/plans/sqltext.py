@@ -60,7 +60,7 @@ def fix_ocr(x: str) -> str:
         x = _word(x, word, by)
     x = rep(x, r"\?\s*Ngân", "- Ngân", "gi")
     x = _word(x, "cá nám", "cả năm")
-    x = rep(x, rf"([0-9])[oO]([1-9])($|{NOT_WORD})", r"\g1" if False else r"\1" + "0" + r"\2\3")
+    x = rep(x, rf"([0-9])[oO]([1-9])($|{NOT_WORD})", r"\1" + "0" + r"\2\3")
     return _word(_word(x, "olf", "01"), "0l", "01")
 
 

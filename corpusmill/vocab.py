@@ -303,3 +303,95 @@ TERM_IN_CONTENT = r"(?:Đợt|đợt)\s*[:\s]*([HKhk]+\d)\s*[\(\[]?\s*(20\d{2}[-
 TERM_IN_TITLE = r"(HK\d|Kỳ\s*[I1-9]+|học kỳ\s*\d)\s*[,\s]*(20\d{2}[-–]\d{2,4})"
 TERM_UNKNOWN = "Không rõ kỳ"
 MONEY = r"\d{1,3}(?:[\.,]\d{3})+"
+
+# --- fixed values: rule-based answers ---------------------------------------
+EXEMPT_ASK = ["la ai", "la gi", "doi tuong nao"]
+EXEMPT_ITEM_1 = r"mien giam hoc phi.{0,400}phu luc 1"
+EXEMPT_ITEM_2 = [r"81 2021.{0,300}phu luc 2", r"phu luc 2.{0,300}81 2021"]
+EXEMPT_TITLE = "**Đối tượng sinh viên được miễn, giảm học phí gồm:**"
+# {school} is a parameter.
+EXEMPT_TEXT_1 = (
+    "Đối tượng sinh viên được miễn, giảm học phí trực tiếp tại trường theo chính sách "
+    "ưu đãi, hỗ trợ của {school} (theo phụ lục 1)."
+)
+EXEMPT_TEXT_2 = "Đối tượng được Nhà nước hỗ trợ đóng học phí theo Nghị định 81/2021/NĐ-CP (theo phụ lục 2)."
+EXEMPT_TAIL = (
+    "Nếu bạn cần, mình có thể liệt kê thêm **hồ sơ cụ thể** của từng nhóm theo Phụ lục 1 và Phụ lục 2."
+)
+FEE_WORDS = ["hoc phi", "le phi"]
+FEE_SCOPES = ["ky 1", "ky i", "2025 2026", "thu le phi", "thu hoc phi"]
+FEE_ANY_SEMESTER = ["thu hoc phi ky", "le phi hoc ky", "hoc phi ky", "thu le phi ky"]
+FEE_FIRST = ["ky i", "ky 1"]
+FEE_SECOND = ["ky ii", "ky 2"]
+FEE_TITLE = "THÔNG BÁO Về việc thu học phí Kỳ I, năm học 2025-2026"
+FEE_TRIPLE = r"([0-9][0-9\.,]{3,})\s*\|\s*([0-9][0-9\.,]{3,})\s*\|\s*([0-9][0-9\.,]{3,})"
+FEE_TRIPLE_MARKERS = ["chuong trinh", "hoc phi", "dai hoc"]
+FEE_ROW = r"\|\s*\d+\s*\|\s*([^|]+?)\s*\|\s*([0-9][0-9\.,]*\s*[dđ]?)\s*\|"
+FEE_POWER = r"tien dien[^0-9]{0,80}([0-9][0-9\.,]*)\s*d?"
+FEE_POWER_ITEM = "Tiền điện ĐHNĐ, tiền nước uống (cả năm)"
+FEE_TOTAL = r"tong cong\s*([0-9 ]{3,})\s*d"
+FEE_RATES = "**Mức học phí (đồng/tín chỉ):**"
+FEE_RATE_LINES = ["- Khóa 11: **{}**", "- Khóa 12: **{}**", "- Khóa 13: **{}**"]
+FEE_ITEMS = "**Các khoản lệ phí:**"
+FEE_SUM = "- Tổng cộng: **{}**"
+FEE_PORTAL = "**Cổng thanh toán:** {}"
+FEE_METHODS = "**Phương thức nộp:**"
+PAY_METHODS = [
+    (["nop tien mat"], "Nộp tiền mặt tại Phòng Kế hoạch - Tài chính (Tầng 1, tòa nhà 31 Dịch Vọng Hậu)."),
+    (["qr code"], "Nộp qua QR-Code động trên cổng sinh viên."),
+    (["the atm noi dia", "may pos"], "Nộp qua thẻ ATM nội địa tại Phòng Kế hoạch - Tài chính (máy POS)."),
+]
+DIRECTIVE_ANCHOR = r"các công việc sau đây\s*[:.]"
+DIRECTIVE_ITEM = r"(?m)(?<!\d)(\d{1,2})\s*[\.,]\s*(.+?)(?=(?:\n\s*\d{1,2}\s*[\.,]\s)|\z)"
+DIRECTIVE_TITLE = "**Thông báo nghỉ Tết Nguyên đán 2026**"
+HEADING_STOPS = ["noi nhan", "hieu truong", "doc lap tu do hanh phuc"]
+HEADING_START = r"^(dieu|muc|phan|chuong|khoan)\s*[0-9ivxlc]+"
+HEADING_TOKENS = [
+    "doi tuong", "thoi gian", "dia diem", "ho so", "luu y",
+    "muc thu", "hoc phi", "le phi", "phuong thuc", "dieu kien",
+    "quyen loi", "nghia vu", "thoi han", "thanh phan",
+]
+SECTION_SKIPS = ["cong hoa xa hoi chu nghia", "doc lap tu do hanh phuc"]
+ITEM_SKIPS = ["noi nhan", "hieu truong", "ky ten", "doc lap tu do hanh phuc"]
+FOUR_SECTIONS = [
+    ("Đối tượng và hồ sơ", ["doi tuong"], ["ho so", "mien giam hoc phi", "nop ho so"]),
+    ("Thời gian nộp hồ sơ", ["thoi gian"], ["nop ho so", "nhan ho so", "han nop"]),
+    ("Địa điểm nộp hồ sơ", ["dia diem"], ["nop ho so", "nhan ho so"]),
+    ("Lưu ý", ["luu y", "han nop hoc phi"], [""]),
+]
+OUTLINE_STOPS = ["cho", "toi", "biet", "ve", "va", "la", "gi", "noi", "dung", "cua", "nam", "hoc", "ky"]
+OUTLINE_FEE_ASKED = ["hoc phi", "le phi", "muc thu", "chi phi"]
+OUTLINE_FEE_FOUND = ["hoc phi", "le phi", "muc thu"]
+OUTLINE_TABLE_ASKED = ["hoc phi", "le phi", "muc thu", "so tien", "bang"]
+OUTLINE_TUITION_TABLE = ["chuong trinh", "khoa 11", "tin chi", "muc thu hoc phi"]
+OUTLINE_FEE_TABLE = ["le phi", "noi dung thu", "tong cong"]
+OUTLINE_LEAD = "**Nội dung chính theo yêu cầu:** "
+OUTLINE_TABLE = "**Bảng dữ liệu liên quan:**"
+FILLER_COLUMN = "Cột "
+ANSWER_ERRORS = ["xin loi", "su co ket noi", "khong tim thay thong tin"]
+SAFE_QUERY_TERMS = [
+    "nội dung", "quy định", "thông báo", "quyết định", "hồ sơ",
+    "thủ tục", "miễn giảm", "học phí", "lịch",
+]
+SAFE_SOURCE = "Tài liệu scan (OCR)"
+SAFE_YEAR = "Nội dung có nhắc tới năm học **{}**."
+SAFE_FACTS = [
+    (["mien giam hoc phi"], "Tài liệu đề cập hồ sơ **miễn, giảm học phí** cho sinh viên."),
+    (["hoc ky ii", "hk ii", "hk2"], "Phạm vi áp dụng có nhắc tới **học kỳ II**."),
+    (["giay khai sinh"], "Trong hồ sơ có nhắc tới **giấy khai sinh**."),
+    (["ho ngheo", "can ngheo", "xac nhan"], "Có nhắc tới giấy tờ **xác nhận đối tượng/hộ nghèo-cận nghèo**."),
+]
+SAFE_DATES = "Mốc thời gian OCR đọc được: {}."
+SAFE_NOTHING = "Bản OCR bị nhiễu mạnh, chưa đủ dữ liệu để trích xuất chính xác từng điều khoản."
+SAFE_HEAD = "**Tài liệu liên quan:** {}"
+SAFE_LEAD = "Dữ liệu OCR khá nhiễu nên mình chỉ nêu các ý chắc chắn đọc được:"
+SAFE_TAIL = (
+    "Nếu bạn cần độ chính xác cao theo từng điều/mục, mình sẽ trích nguyên văn từng đoạn OCR "
+    "để bạn đối chiếu trực tiếp."
+)
+CLARIFY_HEAD = "Mình tìm thấy **{n} sinh viên** có tên chứa \"{name}\", bạn muốn hỏi về ai?\n"
+CLARIFY_LINE = "- **{name}** — MSV: `{id}`"
+CLARIFY_TAIL = "\nBạn hãy nhập **mã sinh viên** để mình tìm chính xác nhé!"
+CLARIFY_NONE = "Mình không tìm thấy sinh viên nào tên **{name}** trong dữ liệu."
+RECORD_HEAD = "**Điểm rèn luyện** của **{name}** (MSV: `{id}`):\n"
+RECORD_LINE = "- **{term}**: **{score} điểm** — Xếp loại: {grade}"
