@@ -11,6 +11,7 @@ def all_queries():
         dialogue_queries,
         relational_queries,
         search_queries,
+        source_queries,
         table_queries,
         text_queries,
     )
