@@ -376,5 +376,6 @@ def answer_sources(hits: DataFrame) -> DataFrame:
     place = F.row_number().over(_Q.orderBy("rank", "chunk_uid"))
     return firsts.select(
         "query_id", "doc_id", F.coalesce("source", F.lit(vocab.UNKNOWN_FILENAME)).alias("filename"),
-        F.round(F.coalesce("score", F.lit(0.0)), 2).alias("score"), place.alias("ord"),
+        # Half-even on the binary value, as the double holds it.
+        (F.bround(F.coalesce("score", F.lit(0.0)) * 100, 0) / 100).alias("score"), place.alias("ord"),
     )

@@ -198,25 +198,48 @@ def token_index(chunks: DataFrame, fields: list[str] | None = None) -> DataFrame
     return chunks.select("chunk_uid", F.explode(F.array(*columns)).alias("e")).select("chunk_uid", "e.field", "e.tokens")
 
 
+def _fits(df: DataFrame, text: str, max_bytes: int) -> bool:
+    """Whether the table, counted by its longest column, is within the bound."""
+    size = df.agg(F.coalesce(F.sum(F.octet_length(text) * 3 + 64), F.lit(0)).alias("s")).first().s
+    return size <= max_bytes
+
+
+def _matches(index: DataFrame, needles: DataFrame, max_bytes: int) -> DataFrame:
+    """(field, needle, chunk_uid) of all chunks that hold all words of a needle.
+
+    A needle is looked up by its longest word, as a stand-in for its rarest.
+    Needles of checked size go to the postings, which then are not shuffled at
+    all; the other words are verified on the same row. More needles meet the
+    bare postings in a shuffle, and only candidates of several words meet the
+    word lists again.
+    """
+    words = index.select("chunk_uid", "field", "tokens", F.explode("tokens").alias("anchor"))
+    if _fits(needles, "needle", max_bytes):
+        return words.join(F.broadcast(needles), ["field", "anchor"]).where(
+            F.size(F.array_except("words", "tokens")) == 0
+        ).select("field", "needle", "chunk_uid")
+    found = words.drop("tokens").join(needles.hint("merge"), ["field", "anchor"])
+    single = found.where(F.size("words") == 1).select("field", "needle", "chunk_uid")
+    several = found.where(F.size("words") > 1).hint("merge").join(index, ["chunk_uid", "field"]).where(
+        F.size(F.array_except("words", "tokens")) == 0
+    ).select("field", "needle", "chunk_uid")
+    return single.unionByName(several)
+
+
 def keyword_search(
-    chunks: DataFrame, queries: DataFrame, limit: int = vocab.SEARCH_LIMIT, index: DataFrame | None = None
+    chunks: DataFrame, queries: DataFrame, limit: int = vocab.SEARCH_LIMIT, index: DataFrame | None = None,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """First matches of each keyword in each field, merged per query.
 
-    Equal needles of many queries are searched once. A needle is looked up by
-    its longest word, as a stand-in for its rarest, and its other words are
-    verified on the same row, so frequent words do not multiply rows. Each map
-    task keeps ``limit`` matches per needle before the shuffle.
+    Equal needles of many queries are searched once. Each map task keeps
+    ``limit`` matches per needle before the shuffle, so that a needle found in
+    a third of all chunks still moves few rows.
     """
     wanted = _needles(queries)
     longest = F.array_max(F.transform("words", lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))).w
     needles = wanted.select("field", "needle", "words").distinct().withColumn("anchor", longest)
-    postings = (token_index(chunks) if index is None else index).select(
-        "chunk_uid", "field", "tokens", F.explode("tokens").alias("anchor")
-    )
-    found = postings.join(needles, ["field", "anchor"]).where(
-        F.size(F.array_except("words", "tokens")) == 0
-    ).select("field", "needle", "chunk_uid")
+    found = _matches(token_index(chunks) if index is None else index, needles, broadcast_bytes)
     by_uid = Window.partitionBy("field", "needle").orderBy("chunk_uid")
     first = found.withColumn("_n", F.row_number().over(by_uid)).where(F.col("_n") <= limit).drop("_n")
     place = F.struct("kw_idx", "field_idx", "chunk_uid")

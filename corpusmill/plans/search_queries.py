@@ -113,6 +113,11 @@ def _(t):
 _SEM_DOCS = _SEMANTIC.replace("FROM embeddings, {centroids}", "FROM embeddings, {centroids} WHERE vec_id IN (SELECT doc_id FROM documents)")
 
 
+@query("search_keyword_shuffled", "query_id bigint, chunk_uid string, rank bigint", keyword_sql("{asked_words}", "{corpus}"))
+def _(t):
+    return R.keyword_search(corpus(t), asked(t), broadcast_bytes=0)
+
+
 # Queries of the hybrid search: a label's vector with the words of its benchmark text.
 CTES["hybrid_words"] = "SELECT a.* FROM {asked_words} a JOIN {centroids} c ON c.query_id = a.query_id"
 _HYBRID = f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, src, src_rank, chunk_uid) AS rank FROM (
@@ -423,7 +428,7 @@ def _(t):
 
 
 @query("answer_sources", "query_id bigint, doc_id bigint, filename string, score double, ord bigint", """
-SELECT query_id, doc_id, source AS filename, round(coalesce(score, 0), 2) AS score, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS ord
+SELECT query_id, doc_id, source AS filename, round_even(coalesce(score, 0) * 100, 0) / 100 AS score, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS ord
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY rank) AS rn FROM {hits} WHERE doc_id <> 0) WHERE rn = 1""")
 def _(t):
     return K.answer_sources(t.hits)
