@@ -31,8 +31,8 @@ _DROPPED = r"[\x00-\x08\x0B-\f\x0E-\x1F\x7F-\x7F\x{200B}-\x{200D}]"
 def _combining_class() -> str:
     """Regex class of the characters with a non-zero combining class.
 
-    The Latin block is left to a plain range, and ``\\p{M}`` is tested first, so
-    that letters never reach the long list of ranges.
+    The Latin block is left to a plain range, and the category is tested first,
+    so that letters never reach the long list of ranges.
     """
     points = [p for p in range(0x370, 0x110000) if unicodedata.combining(chr(p))]
     parts, start = [], points[0]
@@ -40,7 +40,7 @@ def _combining_class() -> str:
         if following != here + 1:
             parts.append(f"\\x{{{start:X}}}-\\x{{{here:X}}}")
             start = following
-    return r"[\p{M}&&[" + "".join(parts) + "]]+"
+    return r"[\p{M}\p{Cn}&&[" + "".join(parts) + "]]+"
 
 
 _MARKS = _combining_class()
@@ -81,7 +81,7 @@ def nfc(c: Column) -> Column:
 
 def _unmarked(c: Column) -> Column:
     decomposed = F.reflect(F.lit(_ICU), F.lit("decompose"), c, F.lit(True))
-    return F.regexp_replace(F.regexp_replace(decomposed, r"[\x{300}-\x{36F}]+", ""), _MARKS, "")
+    return F.regexp_replace(F.regexp_replace(decomposed, r"[\x{300}-\x{34E}\x{350}-\x{36F}]+", ""), _MARKS, "")
 
 
 def normalize_unicode(c: Column) -> Column:
@@ -201,7 +201,11 @@ def clean_text(c: Column, drop_noise: Column | bool = False) -> Column:
 
             return F.transform(F.split(text, "\n"), entry)
 
-        return F.array_join(_first_of_key(let(folded, keyed)), "\n")
+        deduped = F.array_join(_first_of_key(let(folded, keyed)), "\n")
+        if drop_noise is not False:
+            return deduped
+        # A single line with a plain letter or digit has no duplicate to lose.
+        return F.when(~text.contains("\n") & text.rlike("[0-9A-Za-z]"), text).otherwise(deduped)
 
     return let(normalize_whitespace(fix_ocr(normalize_unicode(c))), dedupe)
 

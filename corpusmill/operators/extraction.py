@@ -35,7 +35,10 @@ from corpusmill.functions.text import (
 from corpusmill.operators.numbering import first_per_key
 from corpusmill.operators.retrieval import list_rows
 
-_Q = Window.partitionBy("query_id")
+
+def _per_query():
+    """Window over the (bounded) rows of a query."""
+    return Window.partitionBy("query_id")
 
 
 def _fill(template: str, **values: Column) -> Column:
@@ -396,7 +399,7 @@ def generic_sections(contexts: DataFrame, max_sections: int = 8, max_items: int
         (F.col("text") != "") & ~(F.col("text").startswith("[") & F.col("text").endswith("]"))
     ).where(~contains_any(fold_query(F.col("text")), vocab.SECTION_SKIPS))
     lines = lines.withColumns({"head": generic_heading(F.col("text")), "item": clean_context_line(F.col("text"))})
-    so_far = _Q.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    so_far = _per_query().orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     folded = F.when(F.col("head").isNotNull(), fold_query(F.col("head")))
     lines = lines.withColumn("key", F.last(folded, ignorenulls=True).over(so_far))
     titles = lines.where("head IS NOT NULL").groupBy("query_id", "key").agg(
@@ -408,7 +411,7 @@ def generic_sections(contexts: DataFrame, max_sections: int = 8, max_items: int
     kept = items.groupBy("query_id", "key").agg(
         F.slice(F.transform(F.sort_array(F.collect_list(F.struct("pos", "item"))), lambda s: s.item), 1, max_items).alias("items")
     )
-    place = F.row_number().over(_Q.orderBy("at"))
+    place = F.row_number().over(_per_query().orderBy("at"))
     return titles.join(kept, ["query_id", "key"]).where(
         (F.trim("title") != "") & (F.length("title") <= 140)
     ).withColumn("idx", place - 1).where(F.col("idx") < max_sections).select("query_id", "idx", "title", "items")
@@ -431,7 +434,7 @@ def four_sections(contexts: DataFrame, max_items: int = 8) -> DataFrame:
         F.col("mark").isNull() | ~(F.col("text").endswith(":") & (tail == "")),
         F.coalesce(F.nullif("item", F.lit("")), F.when(F.col("mark").isNotNull(), F.nullif(tail, F.lit("")))),
     )
-    so_far = _Q.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    so_far = _per_query().orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     found = lines.withColumn("item", item).withColumn(
         "section", F.last("mark", ignorenulls=True).over(so_far)
     ).where("section IS NOT NULL AND item IS NOT NULL").groupBy("query_id", "section", "item").agg(F.min("pos").alias("pos"))
@@ -478,7 +481,7 @@ def money_tables(contexts: DataFrame, max_tables: int = 2, max_rows: int = 6) ->
         F.first("headers").alias("headers"), F.sort_array(F.collect_list(F.struct("n", fitted.alias("row")))).alias("_rows")
     )
     all_rows = F.transform("_rows", lambda r: r.row)
-    place = F.row_number().over(_Q.orderBy("block"))
+    place = F.row_number().over(_per_query().orderBy("block"))
     return grouped.select(
         "query_id", (place - 1).alias("idx"), "headers", F.slice(all_rows, 1, max_rows).alias("rows"),
         fold_query(F.concat_ws(" ", F.array_join("headers", " "), F.array_join(F.flatten(all_rows), " "))).alias("folded"),
@@ -650,7 +653,7 @@ def noisy_queries(hits: DataFrame) -> DataFrame:
 def safe_answers(hits: DataFrame) -> DataFrame:
     """Cautious facts for noisy queries: ``(query_id, answer)``."""
     noisy = hits.join(noisy_queries(hits), "query_id", "left_semi").withColumns({
-        "_place": F.row_number().over(_Q.orderBy("rank", "chunk_uid")),
+        "_place": F.row_number().over(_per_query().orderBy("rank", "chunk_uid")),
         "_source": F.nullif(normalize_query(F.col("source")), F.lit("")),
     })
     source = F.col("_source")

@@ -16,7 +16,10 @@ from corpusmill import vocab
 from corpusmill.functions.text import contains_any, fold_query, let, nfc, normalize_query, strip, strip_tags, text_or_empty
 from corpusmill.operators.numbering import first_per_key
 
-_Q = Window.partitionBy("query_id")
+
+def _per_query():
+    """Window over the (bounded) rows of a query."""
+    return Window.partitionBy("query_id")
 
 
 # --- years and topics -------------------------------------------------------
@@ -80,7 +83,7 @@ def filter_results(hits: DataFrame) -> DataFrame:
 
     A ``strategy`` column, if present, lets keyword hits pass without scores.
     """
-    best = F.coalesce(F.max("score").over(_Q), F.lit(0.0))
+    best = F.coalesce(F.max("score").over(_per_query()), F.lit(0.0))
     best = F.greatest(best, F.lit(0.0))
     by_keyword = F.col("strategy") == "keyword" if "strategy" in hits.columns else F.lit(False)
     threshold = F.when(F.col("_best") < 0.5, F.col("_best") * 0.7).otherwise(0.45)
@@ -186,7 +189,7 @@ def rank_scores(
 def rerank(hits: DataFrame, as_of_year: int, **options) -> DataFrame:
     """New ``rank`` by descending ``rank_score``, ties in the former order."""
     scored = rank_scores(hits, as_of_year, **options)
-    order = _Q.orderBy(F.desc(F.round("rank_score", 9)), "rank", "chunk_uid")
+    order = _per_query().orderBy(F.desc(F.round("rank_score", 9)), "rank", "chunk_uid")
     return scored.withColumn("rank", F.row_number().over(order))
 
 
@@ -214,7 +217,7 @@ def explicit_year_filter(hits: DataFrame) -> DataFrame:
     several = (F.size("_qr") > 0) | (F.size("_qy") >= 2)
     usable = F.when(F.size("_qr") > 0, F.col("_class")).when(
         F.col("_class") == 1, F.lit(None)).otherwise(F.col("_class"))
-    best = F.min(usable).over(_Q)
+    best = F.min(usable).over(_per_query())
     return (
         out.withColumn("_best", F.when(several, best))
         .where(F.col("_best").isNull() | (F.coalesce(usable, F.lit(0)) == F.col("_best")))
@@ -229,7 +232,7 @@ def topic_guard(hits: DataFrame) -> DataFrame:
         "_strict": contains_any(F.lower(normalize_query(F.col("query"))), vocab.STRICT_TOPICS),
     }).withColumn("_on", topic_matches(_joined("title", "source", "content"), F.col("_terms")))
     return (
-        out.withColumn("_any", F.bool_or("_on").over(_Q))
+        out.withColumn("_any", F.bool_or("_on").over(_per_query()))
         .where(F.col("_on") | (~F.col("_any") & ~F.col("_strict")))
         .drop("_terms", "_strict", "_on", "_any")
     )
@@ -238,7 +241,7 @@ def topic_guard(hits: DataFrame) -> DataFrame:
 # --- top k, expansion, focus, fallback --------------------------------------
 def top_k(hits: DataFrame) -> DataFrame:
     """8 hits for documents and regulations, else 6, by ``rank``."""
-    place = F.row_number().over(_Q.orderBy("rank", "chunk_uid"))
+    place = F.row_number().over(_per_query().orderBy("rank", "chunk_uid"))
     limit = F.when(F.col("intent").isin("document_info", "regulation"), 8).otherwise(6)
     return hits.withColumn("rank", place).where("rank <= 8").where(F.col("rank") <= limit)
 
@@ -267,7 +270,7 @@ def expand_documents(hits: DataFrame, chunks: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("_n"), F.min("rank").alias("_first"),
         F.first("query").alias("query"), F.first("intent").alias("intent"),
     )
-    by_count = _Q.orderBy(F.desc("_n"), "_first")
+    by_count = _per_query().orderBy(F.desc("_n"), "_first")
     top = stats.withColumn("_doc_rank", F.row_number().over(by_count)).where(
         F.col("_doc_rank") <= vocab.EXPANSION_DOCS
     ).drop("_n", "_first")
@@ -285,7 +288,7 @@ def expand_documents(hits: DataFrame, chunks: DataFrame) -> DataFrame:
             *[c for c in added.columns if c in hits.columns], "score", "rank", "_doc_rank", "_in_doc"),
         allowMissingColumns=True,
     )
-    place = F.row_number().over(_Q.orderBy("_doc_rank", "_in_doc", "chunk_uid"))
+    place = F.row_number().over(_per_query().orderBy("_doc_rank", "_in_doc", "chunk_uid"))
     return both.withColumn("rank", place).drop("_doc_rank", "_in_doc")
 
 
@@ -298,7 +301,7 @@ def focus_primary(hits: DataFrame) -> DataFrame:
     kept = hits.join(best.select("query_id", F.col("doc_id").alias("_doc")), "query_id", "left").where(
         F.col("_doc").isNull() | (F.col("doc_id") == F.col("_doc"))
     )
-    place = _Q.orderBy(chunk_number(F.col("chunk_id")), "chunk_id", "rank", "chunk_uid")
+    place = _per_query().orderBy(chunk_number(F.col("chunk_id")), "chunk_id", "rank", "chunk_uid")
     ordered = F.when(F.col("_doc").isNull(), F.col("rank")).otherwise(F.row_number().over(place))
     return kept.withColumn("rank", ordered).drop("_doc")
 
@@ -309,7 +312,7 @@ def relaxed_fallback(valid: DataFrame, raw: DataFrame) -> DataFrame:
         F.length(strip(F.coalesce("content", F.lit("")))) >= vocab.MIN_TEXT_CHARS
     )
     lost = wanted.join(valid.select("query_id").distinct(), "query_id", "left_anti")
-    place = F.row_number().over(_Q.orderBy("rank", "chunk_uid"))
+    place = F.row_number().over(_per_query().orderBy("rank", "chunk_uid"))
     first = lost.withColumn("rank", place).where("rank <= 3")
     return valid.unionByName(first, allowMissingColumns=True)
 
@@ -353,7 +356,7 @@ def context_parts(hits: DataFrame) -> DataFrame:
     rows = rows.withColumn("part", F.concat(F.lit("["), header, F.lit("]\n"), cut)).withColumn(
         "_doc", F.min("rank").over(Window.partitionBy("query_id", "doc_id"))
     )
-    order = _Q.orderBy("_doc", chunk_number(F.col("chunk_id")), "chunk_id", "rank", "chunk_uid")
+    order = _per_query().orderBy("_doc", chunk_number(F.col("chunk_id")), "chunk_id", "rank", "chunk_uid")
     before = F.coalesce(
         F.sum(F.length("part")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
     )
@@ -373,7 +376,7 @@ def build_contexts(hits: DataFrame) -> DataFrame:
 def answer_sources(hits: DataFrame) -> DataFrame:
     """First hit of each document of a query, with its file name and score."""
     firsts = first_per_key(hits.where("doc_id IS NOT NULL AND doc_id <> 0"), ["query_id", "doc_id"], [F.col("rank"), F.col("chunk_uid")])
-    place = F.row_number().over(_Q.orderBy("rank", "chunk_uid"))
+    place = F.row_number().over(_per_query().orderBy("rank", "chunk_uid"))
     return firsts.select(
         "query_id", "doc_id", F.coalesce("source", F.lit(vocab.UNKNOWN_FILENAME)).alias("filename"),
         # Half-even on the binary value, as the double holds it.

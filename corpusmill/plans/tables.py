@@ -191,15 +191,15 @@ SELECT o_custkey, CAST(year(o_orderdate) * 12 + month(o_orderdate) AS BIGINT), o
 FROM (SELECT l_orderkey, l_linenumber, l_partkey, min(l_quantity) AS l_quantity, min(l_suppkey) AS l_suppkey, min(l_returnflag) AS l_returnflag, min(l_linestatus) AS l_linestatus
       FROM {lineitem} GROUP BY l_orderkey, l_linenumber, l_partkey) JOIN {orders} ON o_orderkey = l_orderkey
 """
-# An HTML table per line item.
+# An HTML table per order.
 CTES["scan_tables"] = """
-SELECT l_suppkey AS doc_id, l_orderkey AS page, l_linenumber * 10000000 + l_partkey AS table_no,
-  '<table border=1><tr><td>STT</td><td>' || CASE WHEN min(l_returnflag) = 'R' THEN 'Mã sinh viên' ELSE 'Nội dung' END || '</td><td>Họ &amp; tên sinh viên</td></tr>'
-  || '<tr><td>1</td><td><b>22' || lpad(CAST(l_partkey AS STRING), 8, '0') || '</b></td><td>' || repeat('Khoản thu số ' || CAST(l_orderkey AS STRING) || ' ', 20) || '</td></tr>'
+SELECT o_custkey AS doc_id, CAST(year(o_orderdate) * 12 + month(o_orderdate) AS BIGINT) AS page, o_orderkey AS table_no,
+  '<table border=1><tr><td>STT</td><td>' || CASE WHEN o_orderstatus = 'F' THEN 'Mã sinh viên' ELSE 'Nội dung' END || '</td><td>Họ &amp; tên sinh viên</td></tr>'
+  || '<tr><td>1</td><td><b>22' || lpad(CAST(o_custkey AS STRING), 8, '0') || '</b></td><td>' || repeat('Khoản thu số ' || CAST(o_orderkey AS STRING) || ' ', 20) || '</td></tr>'
   || '<tr><td></td><td> </td></tr>'
-  || '<tr><td>2</td><td>23' || lpad(CAST(l_orderkey AS STRING), 8, '0') || '</td><td>' || repeat('Tong cong ', CAST(min(l_quantity) AS INT)) || '</td></tr>'
+  || '<tr><td>2</td><td>23' || lpad(CAST(o_orderkey AS STRING), 8, '0') || '</td><td>' || repeat('Tong cong ', CAST(1 + o_custkey % 50 AS INT)) || '</td></tr>'
   || '<tr><td>3</td><td>x</td><td>' || repeat('cuối ', 60) || '</td></tr></table>' AS html
-FROM {lineitem} GROUP BY l_suppkey, l_orderkey, l_linenumber, l_partkey
+FROM {orders}
 """
 # A box per word of a document: 200 words to a page, jittered heights.
 CTES["ocr_boxes"] = """

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime (not static) settings: AQE decides join strategy from real sizes and
 # splits partitions of a hot key, also where that costs one more exchange.
@@ -57,3 +57,11 @@ def shared_folder(spark: SparkSession, name: str) -> str:
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         base = tempfile.mkdtemp(prefix="corpusmill-")
     return os.path.join(base, f"{name}-{spark.sparkContext.applicationId}-{os.urandom(4).hex()}")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The table written to the shared folder and read back, to cut its lineage."""
+    spark = df.sparkSession
+    path = shared_folder(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
