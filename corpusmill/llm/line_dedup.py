@@ -28,9 +28,9 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.posexplode(hashed).alias("pos", "key"))
         .where(F.col("key").isNotNull()).select("id", "pos", "key.a", "key.b"))
     lines = written(lines, "line-dedup")
-    often = (
-        lines.groupBy("a", "b", "id").agg(F.lit(1)).groupBy("a", "b").agg(F.count("*").alias("docs"), F.max("id").alias("last"))
-        .where(F.col("docs") >= min_docs).select("a", "b", "last"))
+    counted = lines.groupBy("a", "b", "id").agg(F.lit(1)).groupBy("a", "b").agg(F.count("*").alias("docs"), F.max("id").alias("last"))
+    # written, so that it joins by an exchange of its own, which lets a common line be split
+    often = written(counted.where(F.col("docs") >= min_docs).select("a", "b", "last"), "line-dedup-often")
     return lines.join(often, ["a", "b"]).where(F.col("id") != F.col("last")).groupBy("id").agg(F.collect_set("pos").alias("positions"))
 
 

@@ -73,9 +73,9 @@ def quality_rules(
     common = lines.groupBy("host", "h", "text_hash").agg(F.min("id").alias("id")).groupBy("host", "h").agg(F.count("*").alias("texts"), F.min("id").alias("first"))
     hosts = base.where(F.col("id").isNotNull()).groupBy("host", "text_hash").agg(F.lit(1)).groupBy("host").agg(F.count("*").alias("of"))
     at_host = F.col("l.host").eqNullSafe(F.col("r.host"))
-    over = (
+    over = written(
         common.where(F.col("texts") >= min_documents).alias("l").join(hosts.alias("r"), at_host)
-        .where(F.col("texts") >= host_share * F.col("of")).select("l.host", "h", "first"))
+        .where(F.col("texts") >= host_share * F.col("of")).select("l.host", "h", "first"), "quality-rules-lines")
     lost = (
         lines.alias("l").join(over.alias("r"), at_host & (F.col("l.h") == F.col("r.h")) & (F.col("id") > F.col("first")))
         .groupBy("id").agg(F.sum("n").alias("lost")))
