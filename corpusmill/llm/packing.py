@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.tokens import WordTokenizer, default_tokenizer
+from corpusmill.llm.tokens import default_tokenizer, spelled
 
 FIELDS = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -138,7 +138,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, cap
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordTokenizer(path)
+        words = spelled(path)
         packer = Packer(capacity, TaskContext.get().partitionId() << 32)
         end = end_id.to_bytes(4, "little")
         schema = None
@@ -154,7 +154,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, cap
             texts = batch.column("text")
             for lo in range(0, batch.num_rows, 512):
                 part = texts.slice(lo, 512).to_pylist()
-                for doc, ids in zip(batch.column("id").slice(lo, 512).to_pylist(), words.ids(part)):
+                for doc, ids in zip(batch.column("id").slice(lo, 512).to_pylist(), words.texts(part)):
                     packer.add(doc, ids + end)
                 packer.pack()
             yield rows()
