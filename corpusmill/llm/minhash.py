@@ -94,12 +94,19 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(tasks, f"id {docs.schema['id'].dataType.simpleString()}, items binary")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, broadcast_rows: int = 20_000) -> DataFrame:
+def counted(small: DataFrame, rows: int = 500_000) -> DataFrame:
+    """A table of a few numbers a row, to be broadcast if it has at most so many rows; the
+    join shuffles otherwise.
+    """
+    return F.broadcast(small) if small.count() <= rows else small
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, few_pairs: int = 20_000) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union.
 
     Few pairs, of counted number, are broadcast to the sets, which are then not shuffled.
     """
-    few = pairs.count() <= broadcast_rows
+    few = pairs.count() <= few_pairs
     sent = F.broadcast if few else (lambda df: df)
     needed = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     there = sets.join(sent(needed), "id") if few else sets
@@ -122,10 +129,10 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, broadcast_rows: i
     return both.mapInArrow(tasks, f"a {kind}, b {kind}")
 
 
-def candidates(rows: DataFrame, percent: int, most: int | None, seed: int, visits: bool, block: int = 512) -> DataFrame:
+def candidates(rows: DataFrame, sigs: DataFrame, percent: int, most: int | None, seed: int, visits: bool, block: int = 512) -> DataFrame:
     """(a, b): pairs in one bucket and different components that may be similar enough.
 
-    ``rows`` has key, id, n, component and sig. A bucket is dealt into blocks of about
+    ``rows`` has key, id and component, ``sigs`` id, n and sig. A bucket is dealt into blocks of about
     ``block`` documents, by a seeded hash. With ``visits``, those outside the bucket's
     largest component also visit all other blocks, so that every pair between components
     meets; without, only pairs inside a block do. A pair is left out where the sizes of
@@ -141,7 +148,7 @@ def candidates(rows: DataFrame, percent: int, most: int | None, seed: int, visit
         dealt = dealt.withColumn("block", F.explode(F.when(F.col("component") == F.col("main"), F.array("home")).otherwise(everywhere)))
     else:
         dealt = dealt.withColumn("block", F.col("home"))
-    met = dealt.select("key", "block", (F.col("block") != F.col("home")).alias("guest"), "id", "n", "component", "sig")
+    met = dealt.select("key", "block", (F.col("block") != F.col("home")).alias("guest"), "id", "component").join(sigs, "id")
     kind = rows.schema["id"].dataType.simpleString()
 
     def partners(guests: tuple, hosts: tuple, same: bool) -> list[tuple]:
@@ -212,6 +219,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bucket. Groups need no pairs inside a component for their component ids, so copies
     are never expanded into all pairs.
 
+    Texts are read a second time for the candidates' sets: candidate ids of counted number
+    are broadcast to them, up to half a million; more are joined by a shuffle.
+
     Sets are of 64-bit hashes. Empty texts are linked with nothing. Ids are whole
     numbers; rows of one id count as one document, and a null id takes no part: its
     component_id is null and the row is kept.
@@ -219,17 +229,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     made = written(sketches(known, bands, rows), "minhash-sketches")
     reps = made.where("id IS NOT NULL AND n > 0").groupBy("set_a", "set_b", "n").agg(F.min("id").alias("rep"))
-    chosen = made.where("n > 0").join(reps.select("set_a", "set_b", F.col("rep").alias("id")), ["set_a", "set_b", "id"]).dropDuplicates(["id"])
-    buckets = chosen.select("id", "n", "sig", F.explode("keys").alias("key"))
-    shared = chosen.select("id", F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
-    buckets = written(buckets.join(shared, "key"), "minhash-buckets")
-    ids = buckets.select("id").distinct()
-    sets = written(shingle_sets(known.join(ids, "id", "left_semi")).dropDuplicates(["id"]), "minhash-sets")
+    # one row per set: the others would only meet their copies
+    chosen = made.where("n > 0").select("set_a", "set_b", "id").join(reps.select("set_a", "set_b", F.col("rep").alias("id")), ["set_a", "set_b", "id"]).select("id").distinct()
+    keyed = made.where("n > 0").select("id", "keys").join(chosen, "id", "left_semi").dropDuplicates(["id"]).select("id", F.explode("keys").alias("key"))
+    keyed = written(keyed, "minhash-keys")
+    shared = written(keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"), "minhash-shared")
+    buckets = written(keyed.join(shared, "key"), "minhash-buckets")
+    ids = written(buckets.select("id").distinct(), "minhash-ids")
+    sigs = written(made.select("id", "n", "sig").join(counted(ids), "id", "left_semi").dropDuplicates(["id"]), "minhash-sigs")
+    sets = written(shingle_sets(known.join(counted(ids), "id", "left_semi")).dropDuplicates(["id"]), "minhash-sets")
     links, parts = None, None
     for most, visits in ((1, False), (6, False), (None, True)):
         labelled = buckets.withColumn("component", F.col("id")) if parts is None else (
             buckets.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id")))
-        pairs = written(candidates(labelled, percent, most, seed=17 + (most or 0), visits=visits), "minhash-pairs")
+        pairs = written(candidates(labelled, sigs, percent, most, seed=17 + (most or 0), visits=visits), "minhash-pairs")
         found = confirmed(pairs, sets, percent)
         links = written(found if parts is None else found.union(parts.select(F.col("id").alias("a"), F.col("component").alias("b"))), "minhash-links")
         parts = components(links)
