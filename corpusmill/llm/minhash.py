@@ -94,6 +94,13 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(tasks, f"id {docs.schema['id'].dataType.simpleString()}, items binary")
 
 
+def similar(one: np.ndarray, two: np.ndarray, percent: int) -> bool:
+    """Whether 100 * intersection >= percent * union, for sorted distinct numbers."""
+    small, large = (one, two) if len(one) < len(two) else (two, one)
+    common = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
+    return 100 * common >= percent * (len(one) + len(two) - common)
+
+
 def counted(small: DataFrame, rows: int = 500_000) -> DataFrame:
     """A table of a few numbers a row, to be broadcast if it has at most so many rows; the
     join shuffles otherwise.
@@ -119,93 +126,141 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, few_pairs: int =
             keep = []
             for x, y in zip(batch.column("x"), batch.column("y")):
                 one, two = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
-                small, large = (one, two) if len(one) < len(two) else (two, one)
-                at = np.searchsorted(large, small)
-                common = int((large[np.minimum(at, len(large) - 1)] == small).sum())
-                keep.append(100 * common >= percent * (len(one) + len(two) - common))
+                keep.append(similar(one, two, percent))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     kind = pairs.schema["a"].dataType.simpleString()
     return both.mapInArrow(tasks, f"a {kind}, b {kind}")
 
 
-def candidates(rows: DataFrame, sigs: DataFrame, percent: int, most: int | None, seed: int, visits: bool, block: int = 512) -> DataFrame:
-    """(a, b): pairs in one bucket and different components that may be similar enough.
+def blocks_of(rows: DataFrame, seed: int, visits: bool, block: int = 512) -> DataFrame:
+    """(key, block, guest, id, component): the documents of buckets of several components.
 
-    ``rows`` has key, id and component, ``sigs`` id, n and sig. A bucket is dealt into blocks of about
-    ``block`` documents, by a seeded hash. With ``visits``, those outside the bucket's
-    largest component also visit all other blocks, so that every pair between components
-    meets; without, only pairs inside a block do. A pair is left out where the sizes of
-    the sets rule it out, or where the agreement of the signatures lies four to five
-    deviations below the threshold. ``most`` keeps the best so many partners per document.
+    A bucket is dealt into blocks of about ``block`` documents, by a seeded hash. With
+    ``visits``, those outside the bucket's largest component also visit all other blocks,
+    so that every pair between components meets; without, only pairs inside a block do.
     """
     sizes = rows.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(
         F.sum("c").alias("m"), F.count("*").alias("parts"), F.max_by("component", F.struct("c", "component")).alias("main"))
-    mixed_buckets = sizes.where("parts > 1").withColumn("blocks", F.ceil(F.col("m") / block))
-    dealt = rows.join(mixed_buckets, "key").withColumn("home", F.pmod(F.xxhash64(F.lit(seed), "id"), F.col("blocks")))
-    if visits:
-        everywhere = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
-        dealt = dealt.withColumn("block", F.explode(F.when(F.col("component") == F.col("main"), F.array("home")).otherwise(everywhere)))
-    else:
-        dealt = dealt.withColumn("block", F.col("home"))
-    met = dealt.select("key", "block", (F.col("block") != F.col("home")).alias("guest"), "id", "component").join(sigs, "id")
-    kind = rows.schema["id"].dataType.simpleString()
-
-    def partners(guests: tuple, hosts: tuple, same: bool) -> list[tuple]:
-        gi, gn, gc, gs = guests
-        hi, hn, hc, hs = hosts
-        found = []
-        for i in range(len(gi)):
-            agree = (hs == gs[i]).sum(axis=1) / hs.shape[1]
-            agree = (agree - 1 / 256) / (1 - 1 / 256)
-            low = percent / 100 - 4.5 * (0.25 * 0.75 / hs.shape[1]) ** 0.5
-            ok = (hc != gc[i]) & (agree >= low) & (100 * np.minimum(hn, gn[i]) >= percent * np.maximum(hn, gn[i]))
-            if same and most is None:
-                ok[: i + 1] = False
-            at = np.flatnonzero(ok)
-            if most is not None and len(at) > most:
-                at = at[np.argsort(-agree[at], kind="stable")[:most]]
-            found += [(gi[i], hi[j], float(agree[j])) for j in at]
-        return found
+    several = sizes.where("parts > 1").withColumn("blocks", F.ceil(F.col("m") / block))
+    dealt = rows.join(several, "key").withColumn("home", F.pmod(F.xxhash64(F.lit(seed), "id"), F.col("blocks")))
+    everywhere = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    stays = F.col("component") == F.col("main") if visits else F.lit(True)
+    dealt = dealt.withColumn("block", F.explode(F.when(stays, F.array("home")).otherwise(everywhere)))
+    return dealt.select("key", "block", (F.col("block") != F.col("home")).alias("guest"), "id", "component")
+
+
+def likely(one: tuple, many: tuple, i: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Partners of document i in other components that may be similar enough, best first.
+
+    Left out is what the sizes of the sets rule out, or where the signatures' agreement
+    lies four to five deviations below the threshold. Also the agreement of all.
+    """
+    coordinates = many[3].shape[1]
+    agree = ((many[3] == one[3][i]).sum(axis=1) / coordinates - 1 / 256) / (1 - 1 / 256)
+    low = percent / 100 - 4.5 * (0.25 * 0.75 / coordinates) ** 0.5
+    n, own = many[1], one[1][i]
+    at = np.flatnonzero((many[2] != one[2][i]) & (agree >= low) & (100 * np.minimum(n, own) >= percent * np.maximum(n, own)))
+    return at[np.argsort(-agree[at], kind="stable")], agree
+
+
+def in_blocks(met: DataFrame, more: list[str], work, names: list[str], kinds: tuple, schema: str, block: int = 512) -> DataFrame:
+    """Runs work(one, many, same) over pairs of column tuples (id, n, component, signatures,
+    *more): a block with itself, and its guests, block by block, with its own documents.
+    """
+    fields = ["key", "block", "guest", "id", "n", "component", "sig", *more]
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, hosts, guests, out = None, [], [], []
 
         def columns(rows: list) -> tuple:
-            i, n, c, s = zip(*rows)
-            return i, np.array(n), np.array(c), np.frombuffer(b"".join(s), np.uint8).reshape(len(s), -1)
+            i, n, c, s, *rest = zip(*rows)
+            return i, np.array(n), np.array(c), np.frombuffer(b"".join(s), np.uint8).reshape(len(s), -1), *rest
+
+        def visit() -> None:
+            if hosts and guests:
+                out.extend((*now, *r) for r in work(columns(guests), columns(hosts), False))
+            guests.clear()
 
         def close() -> None:
+            visit()
             if len(hosts) > 1:
                 own = columns(hosts)
-                out.extend(partners(own, own, True))
-            if hosts and guests:
-                out.extend(partners(columns(guests), columns(hosts), False))
+                out.extend((*now, *r) for r in work(own, own, True))
+            hosts.clear()
 
         def sent() -> pa.RecordBatch:
-            pairs = list(zip(*out)) or [(), (), ()]
+            found = list(zip(*out)) or [()] * (2 + len(names))
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(pairs[0], pa.int64()), pa.array(pairs[1], pa.int64()), pa.array(pairs[2], pa.float64())], names=["a", "b", "agree"])
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(found, (pa.int64(), pa.int64(), *kinds))], names=["key", "block", *names])
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "block", "guest", "id", "n", "component", "sig"))):
+            for row in zip(*(batch.column(c).to_pylist() for c in fields)):
                 if row[:2] != now:
                     close()
-                    now, hosts, guests = row[:2], [], []
+                    now = row[:2]
                 (guests if row[2] else hosts).append(row[3:])
                 if len(guests) >= block:
-                    if hosts:
-                        out.extend(partners(columns(guests), columns(hosts), False))
-                    guests = []
+                    visit()
             yield sent()
         close()
         yield sent()
 
-    found = met.repartition("key", "block").sortWithinPartitions("key", "block", "guest").mapInArrow(tasks, f"a {kind}, b {kind}, agree double")
-    if most is not None:
-        each = found.groupBy("a", "b").agg(F.max("agree").alias("agree"))
-        found = each.withColumn("at", F.row_number().over(Window.partitionBy("a").orderBy(F.col("agree").desc(), "b"))).where(F.col("at") <= most)
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    sent_on = met.select(*fields).repartition("key", "block").sortWithinPartitions("key", "block", "guest", "id")
+    return sent_on.mapInArrow(tasks, "key long, block long, " + schema)
+
+
+def best_pairs(rows: DataFrame, sigs: DataFrame, percent: int, most: int, seed: int) -> DataFrame:
+    """(a, b): each document of a bucket with its ``most`` likeliest partners of other components."""
+    def work(one: tuple, many: tuple, same: bool) -> Iterator[tuple]:
+        for i in range(len(one[0])):
+            at, agree = likely(one, many, i, percent)
+            yield from ((one[0][i], many[0][j], float(agree[j])) for j in at[:most])
+
+    found = in_blocks(blocks_of(rows, seed, False).join(sigs, "id"), [], work, ["a", "b", "agree"], (pa.int64(), pa.int64(), pa.float64()), "a long, b long, agree double")
+    each = found.groupBy("a", "b").agg(F.max("agree").alias("agree"))
+    ranked = each.withColumn("at", F.row_number().over(Window.partitionBy("a").orderBy(F.col("agree").desc(), "b"))).where(F.col("at") <= most)
+    return ranked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def remaining_links(rows: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int, seed: int) -> DataFrame:
+    """(a, b): links that join all components which any pair of a bucket links.
+
+    Every likely pair between components is confirmed where it meets, on full sets, unless
+    the links found before in the block have joined the two; so a block sends on
+    fewer links than it has components. Sets travel only with documents that have a likely
+    partner.
+    """
+    def flags(one: tuple, many: tuple, same: bool) -> Iterator[tuple]:
+        hit = np.zeros(len(many[0]), bool)
+        for i in range(len(one[0])):
+            at, _ = likely(one, many, i, percent)
+            hit[at] = True
+            if len(at) and not same:
+                yield True, one[0][i], int(one[2][i])
+        yield from ((False, many[0][j], int(many[2][j])) for j in np.flatnonzero(hit))
+
+    def links(one: tuple, many: tuple, same: bool) -> Iterator[tuple]:
+        joined: dict[int, int] = {}
+
+        def top(c: int) -> int:
+            while c in joined:
+                c = joined[c]
+            return c
+
+        items = [np.frombuffer(x, np.uint64) for x in many[4]]
+        for i in range(len(one[0])):
+            own = np.frombuffer(one[4][i], np.uint64)
+            for j in likely(one, many, i, percent)[0]:
+                if (same and j < i) or top(one[2][i]) == top(many[2][j]):
+                    continue
+                if similar(own, items[j], percent):
+                    joined[top(one[2][i])] = top(many[2][j])
+                    yield one[0][i], many[0][j]
+
+    flagged = in_blocks(blocks_of(rows, seed, True).join(sigs, "id"), [], flags, ["guest", "id", "component"], (pa.bool_(), pa.int64(), pa.int64()), "guest boolean, id long, component long")
+    flagged = written(flagged.distinct(), "minhash-flagged")
+    return in_blocks(flagged.join(sigs, "id").join(sets, "id"), ["items"], links, ["a", "b"], (pa.int64(), pa.int64()), "a long, b long").select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = 75, bands: int = 40, rows: int = 4) -> DataFrame:
@@ -239,11 +294,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sigs = written(made.select("id", "n", "sig").join(counted(ids), "id", "left_semi").dropDuplicates(["id"]), "minhash-sigs")
     sets = written(shingle_sets(known.join(counted(ids), "id", "left_semi")).dropDuplicates(["id"]), "minhash-sets")
     links, parts = None, None
-    for most, visits in ((1, False), (6, False), (None, True)):
+    for most in (1, 6, None):
         labelled = buckets.withColumn("component", F.col("id")) if parts is None else (
             buckets.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id")))
-        pairs = written(candidates(labelled, sigs, percent, most, seed=17 + (most or 0), visits=visits), "minhash-pairs")
-        found = confirmed(pairs, sets, percent)
+        if most:
+            found = confirmed(written(best_pairs(labelled, sigs, percent, most, seed=17 + most), "minhash-pairs"), sets, percent)
+        else:
+            found = remaining_links(labelled, sigs, sets, percent, seed=17)
         links = written(found if parts is None else found.union(parts.select(F.col("id").alias("a"), F.col("component").alias("b"))), "minhash-links")
         parts = components(links)
     named = reps.join(parts, reps["rep"] == parts["id"], "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("c"))
