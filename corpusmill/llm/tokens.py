@@ -9,7 +9,7 @@ from functools import lru_cache
 
 from tokenizers import Tokenizer
 
-GENERATION = 500_000
+GENERATION = 800_000
 # A single mark behind an ASCII letter or digit is a token run of its own.
 MARKED = re.compile(rb".*[a-z0-9][.,;:!?]", re.DOTALL)
 
