@@ -350,6 +350,6 @@ def capitalize_words(c: Column) -> Column:
     """Each blank-separated word with one leading capital."""
     words = F.split(c, f"[{WS}]+")
     return F.array_join(
-        F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1_000_000)))),
+        F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, F.lit(2), F.length(w))))),
         " ",
     )
