@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 from collections.abc import Iterator
@@ -56,5 +57,8 @@ class Spelled:
 
 @lru_cache(2)
 def spelled(path: str) -> Spelled:
-    """One per worker process, which serves many tasks."""
+    """One per worker process, which serves many tasks. Spark has a task for each core, so
+    the tokenizer starts no threads of its own, unless the environment asks for them.
+    """
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     return Spelled(path)
