@@ -134,8 +134,11 @@ def semantic_search(
 
 
 def _search_small(vectors: DataFrame, queries: DataFrame, limit: int, schema: str, bound: int) -> DataFrame:
-    # The size was checked; ``bound`` only guards against a source that grew since.
-    rows = queries.orderBy("query_id").limit(bound).collect() if bound else []
+    # The size was checked; one row more than counted shows a source that grew since.
+    rows = queries.limit(bound + 1).collect()
+    if len(rows) > bound:
+        raise RuntimeError("queries were added while the search was planned; run it again")
+    rows.sort(key=lambda r: r.query_id)
     ids = [r.query_id for r in rows]
     matrix = _unit([r.vector for r in rows]) if rows else np.zeros((0, 1))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusmill.operators import chunking as C
+from corpusmill.operators import page_tables as P
 from corpusmill.operators import versions as V
 from corpusmill.plans import sqltext as S
 from corpusmill.plans.registry import query
@@ -84,6 +85,12 @@ def _(t):
     return C.ingest(t.page_texts, documents)
 
 
+@query("ingest_with_tables", "doc_id bigint, chunk_id string, page bigint, chunk_type string, content_type string, content string, chunk_uid string")
+def _(t):
+    documents = V.version_log(t.uploads).withColumnRenamed("id", "doc_id")
+    return C.ingest(t.page_texts, documents, P.table_chunks(t.table_rows))
+
+
 # --- versions ---------------------------------------------------------------
 _LOG = """SELECT id, filename, is_processed, row_number() OVER w AS version, lag(id) OVER w AS parent_id, lead(id) OVER w IS NULL AS is_active
 FROM {uploads} WINDOW w AS (PARTITION BY filename ORDER BY id)"""

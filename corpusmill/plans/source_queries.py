@@ -71,7 +71,7 @@ def _(t):
     path = shared_folder(t.spark, "csv")
     rows = t.part.select("p_partkey", "p_name", "p_brand").coalesce(1).sortWithinPartitions("p_partkey")
     rows.write.csv(path)
-    return L.csv_grids(t.spark, path, 3).select(F.lit("all").alias("source"), "row_idx", F.array_join("cells", "|").alias("cells"))
+    return L.csv_grids(t.spark, path).select(F.lit("all").alias("source"), "row_idx", F.array_join("cells", "|").alias("cells"))
 
 
 # --- sinks ------------------------------------------------------------------
@@ -98,9 +98,11 @@ def _(t):
     return t.spark.read.parquet(path)
 
 
-@query("chunks_reset", "n bigint", "SELECT 0 AS n FROM documents LIMIT 1")
+@query("chunks_reset", "chunk_uid string, content string",
+       "SELECT chunk_uid, 'new' AS content FROM {notices} WHERE kind <= 3")
 def _(t):
-    return K.reset_chunks(t.notices).agg(F.count(F.lit(1)).alias("n"))
+    old = t.notices.select("chunk_uid", col("title").alias("content"))
+    return K.upsert(K.reset_chunks(old), t.notices.where("kind <= 3").select("chunk_uid", F.lit("new").alias("content")))
 
 
 @query("messages_append", "session_id string, turn bigint, role string, content string", f"""

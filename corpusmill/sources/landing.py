@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill import vocab
@@ -50,22 +50,50 @@ def sheet_metadata(name: Column, issuer: Column | None = None) -> Column:
     )
 
 
-def csv_grids(spark: SparkSession, path: str, columns: int) -> DataFrame:
+def _running(rows: DataFrame, value: Column, name: str) -> DataFrame:
+    """Sum of ``value`` over the earlier lines of a file: inside a split by a window, the
+    splits before it by one summary row each.
+    """
+    rows = rows.withColumn("_v", value)
+    earlier = Window.partitionBy("source").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("source", "_split").agg(F.sum("_v").alias("_s")).select(
+        "source", "_split", F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("source", "_split").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
+    summed = rows.withColumn(name, F.coalesce(F.sum("_v").over(inside), F.lit(0)))
+    return summed.join(sums, ["source", "_split"]).withColumn(name, F.col(name) + F.col("_before")).drop("_v", "_before")
+
+
+def csv_cells(record: Column) -> Column:
+    """All cells of one CSV record; quotes are taken off, empty cells are null."""
+    cells = F.regexp_extract_all(F.concat(F.lit(","), record), F.lit(r',("[^"]*+(?:""[^"]*+)*+"[^,]*|[^,]*)'), F.lit(1))
+    bare = F.transform(cells, lambda c: F.when(
+        c.startswith('"'), F.replace(F.regexp_replace(c, r'^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(c))
+    return F.transform(bare, lambda c: F.nullif(c, F.lit("")))
+
+
+def csv_grids(spark: SparkSession, path: str) -> DataFrame:
     """Cell grids ``(source, sheet, row_idx, cells)`` of headerless CSV files.
 
-    Rows are numbered within a file by split and place in the split, so large
-    files are read and numbered in parallel.
+    Lines are read in parallel and stay so in large files: a record starts at each
+    line with an even number of quotes before it, so a quoted line break joins its
+    lines. Rows keep all their cells, of whatever number; blank lines are no rows.
     """
-    names = [f"c{i}" for i in range(columns)]
-    rows = spark.read.schema(", ".join(f"{n} string" for n in names)).csv(path)
-    placed = rows.select(
+    lines = spark.read.text(path).select(
         F.substring_index("_metadata.file_path", "/", -1).alias("source"),
         F.col("_metadata.file_block_start").alias("_split"),
         F.monotonically_increasing_id().alias("_place"),
-        F.array(*names).alias("cells"),
+        F.col("value").alias("line"),
     )
-    numbered = dense_index(placed, ["source"], ["_split", "_place"], "n", size=1)
-    return numbered.select("source", F.lit("csv").alias("sheet"), (F.col("n") - 1).alias("row_idx"), "cells")
+    quoted = _running(lines, F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit(""))), "_quotes")
+    start = (F.col("_quotes") % 2 == 0).cast("long")
+    placed = _running(quoted, start, "_starts").withColumn("_record", F.col("_starts") + start)
+    records = placed.groupBy("source", "_record").agg(
+        F.sort_array(F.collect_list(F.struct("_split", "_place", "line"))).alias("_lines"))
+    records = records.select(
+        "source", "_record", F.array_join(F.transform("_lines", lambda x: x.line), "\n").alias("_text")).where("_text <> ''")
+    numbered = dense_index(records, ["source"], ["_record"], "n", 4096)
+    return numbered.select(
+        "source", F.lit("csv").alias("sheet"), (F.col("n") - 1).alias("row_idx"), csv_cells(F.col("_text")).alias("cells"))
 
 
 def text_profile(pages: DataFrame, min_chars: int = vocab.FIRST_PAGE_NATIVE_CHARS) -> DataFrame:
@@ -89,14 +117,25 @@ def choose_tables(native: DataFrame, scanned: DataFrame) -> DataFrame:
 
 
 def salvage_json_array(text: Column) -> Column:
-    """Elements (as JSON texts) of the right-most suffix that is a JSON list."""
-    size = F.length(text)
-    starts = F.filter(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), lambda i: F.substring(text, i, F.lit(1)) == "[")
-    parsed = F.transform(
-        F.reverse(starts),
-        lambda i: F.from_json(
-            F.concat(F.lit('{"a":'), strip(F.substring(text, i, size)), F.lit("}")), "a array<string>"
-        ).a,
-    )
-    empty = F.array().cast("array<string>")
-    return F.coalesce(F.get(F.filter(parsed, lambda p: p.isNotNull()), F.lit(0)), empty)
+    """Elements (as JSON texts) of the right-most suffix that is a JSON list.
+
+    Each suffix is parsed as the first of two elements. The second, a hash of the text,
+    arrives there only if the suffix is one whole list: trailing text neither completes
+    it nor is passed over.
+    """
+    strict = {"allowSingleQuotes": "false"}
+    pieces = F.split(text, r"\[")
+    count = F.size(pieces)
+    end = F.sha2(text, 256)
+
+    def suffix(k: Column) -> Column:
+        return F.concat(F.lit("["), strip(F.array_join(F.slice(pieces, k + 1, count), "[")))
+
+    def parsed(k: Column) -> Column:
+        both = F.from_json(F.concat(F.lit("["), suffix(k), F.lit(',"'), end, F.lit('"]')), "array<string>", strict)
+        whole = (F.size(both) == 2) & (F.get(both, F.lit(1)) == end)
+        return F.when(whole, F.from_json(F.get(both, F.lit(0)), "array<string>", strict))
+
+    places = F.when(count > 1, F.sequence(count - 1, F.lit(1), F.lit(-1)))
+    found = F.filter(F.transform(places, parsed), lambda p: p.isNotNull())
+    return F.coalesce(F.get(found, F.lit(0)), F.array().cast("array<string>"))
