@@ -12,7 +12,7 @@ from corpusmill.plans.registry import query
 from corpusmill.session import shared_folder
 from corpusmill.sources import landing as L
 from corpusmill.sources import sinks as K
-from corpusmill.streaming.ingest import start_ingest
+from corpusmill.streaming.ingest import current_chunks, start_ingest
 from corpusmill.streaming.memory import stream_memory
 
 col = F.col
@@ -94,8 +94,8 @@ def _(t):
     path = shared_folder(t.spark, "store")
     slim = t.notices.select("chunk_uid", "doc_id", "kind", col("title").alias("content"))
     K.write_chunks(t.spark, slim.where("kind >= 2").drop("kind"), path, 8)
-    K.write_chunks(t.spark, slim.where("kind <= 3").withColumn("content", F.lit("new")).drop("kind"), path, 8)
-    return t.spark.read.parquet(path)
+    K.write_chunks(t.spark, slim.where("kind <= 3").withColumn("content", F.lit("new")).drop("kind"), path, 8, batch=1)
+    return K.read_chunks(t.spark, path)
 
 
 @query("chunks_reset", "chunk_uid string, content string",
@@ -127,7 +127,7 @@ def _(t):
     documents = V.version_log(t.uploads).withColumnRenamed("id", "doc_id")
     run = start_ingest(t.spark, f"{base}/pages", documents, base, f"{base}/checkpoint", 2, 8)
     run.awaitTermination()
-    return t.spark.read.parquet(f"{base}/chunks")
+    return current_chunks(t.spark, base, documents)
 
 
 @query("stream_session_memory", "session_id string, turn bigint, turn_count bigint, recent string, summary string", f"""

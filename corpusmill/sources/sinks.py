@@ -25,26 +25,24 @@ def bucket(doc_id: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(doc_id), F.lit(buckets)).cast("int")
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+def write_chunks(spark: SparkSession, new: DataFrame, path: str, buckets: int = 64, batch: int = 0) -> None:
+    """Add one batch of chunks to a store partitioned by batch and document bucket.
 
+    A batch is a folder of its own and no other is touched, so a failed write loses
+    nothing and writing a batch again replaces it. Later batches win on reading.
+    """
+    placed = new.withColumn("doc_bucket", bucket(F.col("doc_id"), buckets))
+    placed.write.mode("overwrite").partitionBy("doc_bucket").parquet(f"{path}/store_batch={batch}")
 
-def write_chunks(spark: SparkSession, new: DataFrame, path: str, buckets: int = 64) -> None:
-    """Upsert into a store partitioned by document bucket.
 
-    Only buckets that receive rows are read and rewritten. Running it again
-    with the same rows leaves the store as it is.
-    """
-    new = new.withColumn("doc_bucket", bucket(F.col("doc_id"), buckets))
-    merged = new
-    if exists(spark, path):
-        touched = [r.doc_bucket for r in new.select("doc_bucket").distinct().collect()]  # at most ``buckets``
-        merged = upsert(spark.read.schema(new.schema).parquet(path).where(F.col("doc_bucket").isin(touched)), new)
-    (
-        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("doc_bucket").parquet(path)
-    )
+def read_chunks(spark: SparkSession, path: str) -> DataFrame:
+    """The store's rows: of each ``chunk_uid`` that of the latest batch."""
+    return first_per_key(spark.read.parquet(path), ["chunk_uid"], [F.desc("store_batch")]).drop("store_batch")
+
+
+def compact_chunks(spark: SparkSession, path: str, target: str, buckets: int = 64) -> None:
+    """The store's rows as one batch before all others of the new store ``target``."""
+    write_chunks(spark, read_chunks(spark, path).drop("doc_bucket"), target, buckets, -1)
 
 
 def reset_chunks(chunks: DataFrame) -> DataFrame:

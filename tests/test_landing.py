@@ -4,7 +4,10 @@ from pyspark.sql import functions as F
 
 from corpusmill.operators import chunking as C
 from corpusmill.operators import page_tables as P
+from corpusmill.session import shared_folder
 from corpusmill.sources import landing as L
+from corpusmill.sources import sinks
+from corpusmill.streaming.ingest import current_chunks
 
 
 def test_landed_files_skip_empty(spark, tmp_path):
@@ -48,6 +51,26 @@ def test_html_tables_with_open_tags_and_entities(spark):
     assert md == "| A | B |\n|---|---|\n| àéế | R&D <x> &unknown; y |\n| 1 | 2 |"
 
 
+def test_store_keeps_latest_batch_and_compacts(spark):
+    path, target = shared_folder(spark, "store"), shared_folder(spark, "store")
+    schema = "chunk_uid string, doc_id bigint, content string"
+    sinks.write_chunks(spark, spark.createDataFrame([("a", 1, "old"), ("b", 2, "old")], schema), path, 4)
+    for _ in range(2):
+        sinks.write_chunks(spark, spark.createDataFrame([("a", 1, "new"), ("c", 1, "new")], schema), path, 4, batch=1)
+    sinks.compact_chunks(spark, path, target, 4)
+    sinks.write_chunks(spark, spark.createDataFrame([("b", 2, "newest")], schema), target, 4, batch=2)
+    read = [{r.chunk_uid: r.content for r in sinks.read_chunks(spark, p).collect()} for p in (path, target)]
+    assert read == [{"a": "new", "b": "old", "c": "new"}, {"a": "new", "b": "newest", "c": "new"}]
+
+
+def test_replaced_versions_leave_the_current_chunks(spark):
+    store = shared_folder(spark, "ingest")
+    rows = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "chunk_uid string, doc_id bigint")
+    sinks.write_chunks(spark, rows, f"{store}/chunks", 4)
+    log = spark.createDataFrame([(1, None), (2, 1), (3, None)], "doc_id bigint, parent_id bigint")
+    assert sorted(r.doc_id for r in current_chunks(spark, store, log).collect()) == [2, 3]
+
+
 def test_ingest_orders_tables_after_text(spark):
     text = "Quy định về thời gian đào tạo của sinh viên hệ chính quy trong năm học mới."
     pages = spark.createDataFrame([(1, 1, text), (1, 2, text + " Trang hai.")], "doc_id long, page long, raw_text string")
