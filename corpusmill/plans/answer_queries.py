@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from corpusmill import vocab as V
 from corpusmill.operators import extraction as A
+from corpusmill.operators.numbering import dense_index
 from corpusmill.plans import sqltext as S
 from corpusmill.plans.registry import query
-from corpusmill.plans.search_queries import _any, hits_with_intent
+from corpusmill.plans.search_queries import _HI, _any
 from corpusmill.plans.tables import CTES
 
 col = F.col
@@ -28,22 +29,53 @@ SELECT o_orderkey AS query_id, kind, content_type, chunk_uid, 1 AS rank, source,
 FROM {notices}
 """
 
+# Per case its notice and the three after it of the same document.
+CTES["case_hits"] = """
+SELECT c.query_id, c.query, 'general' AS intent, n.chunk_uid, n.content, n.content_type, n.title, n.source, 1 + ahead AS rank
+FROM (SELECT query_id, query, doc_id, m, unnest(range(0, 4)) AS ahead FROM (SELECT query_id, query, doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY query_id) AS m FROM {cases})) c
+JOIN (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY o_orderkey) AS m FROM {notices}) n ON n.doc_id = c.doc_id AND n.m = c.m + c.ahead
+"""
+
+
+def case_hits(t):
+    placed = dense_index(t.notices, ["doc_id"], ["o_orderkey"], "m").withColumn("m", col("m").cast("bigint"))
+    asked = t.cases.select("query_id", "query").join(placed.select(col("o_orderkey").alias("query_id"), "doc_id", "m"), "query_id")
+    ahead = asked.select("query_id", "query", "doc_id", "m", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("ahead")).withColumn("m", col("m") + col("ahead"))
+    found = placed.select("doc_id", "m", "chunk_uid", "content", "content_type", "title", "source")
+    return ahead.join(found, ["doc_id", "m"]).select(
+        "query_id", "query", F.lit("general").alias("intent"), "chunk_uid", "content", "content_type", "title", "source", (col("ahead") + 1).alias("rank"))
+
+
+# The hits of two thirds of the questions come from scans of untitled documents, half of these with one text among them.
+CTES["scan_hits"] = f"""
+SELECT query_id, query, intent, chunk_uid, content, source, rank,
+  CASE WHEN query_id % 3 = 1 OR rank % 5 = 4 THEN title ELSE 'Không xác định' END AS title,
+  CASE WHEN query_id % 3 = 1 THEN content_type WHEN query_id % 3 = 2 AND rank = 2 THEN 'text' ELSE 'table_md_scan' END AS content_type
+FROM ({_HI})
+"""
+
 _ID_ROWS = """SELECT query_id, rank, pos, id, name FROM (
   SELECT h.query_id, h.query, h.rank, 0 AS pos, n.msv AS id, n.person AS name FROM {hits} h JOIN {notices} n ON n.chunk_uid = h.chunk_uid WHERE n.kind = 5
   UNION ALL SELECT h.query_id, h.query, h.rank, 1, n.msv2, 'Trần Thị ' || n.given FROM {hits} h JOIN {notices} n ON n.chunk_uid = h.chunk_uid WHERE n.kind = 5)"""
 
 
-@query("student_records", "query_id bigint, msv string, ho_ten string, diem string, xep_loai string, hoc_ky string, ord bigint", """
+_RECORDS = """
 SELECT query_id, msv, ho_ten, diem, 'Tốt' AS xep_loai, hoc_ky, row_number() OVER (PARTITION BY query_id ORDER BY CAST(substr(yy, 3) AS INT) DESC, sem DESC, rank) AS ord FROM (
   SELECT h.query_id, n.msv, n.person AS ho_ten, n.points AS diem, 'HK' || n.sem || ' (' || n.yy || '-' || n.yy2 || ')' AS hoc_ky, n.yy, n.sem, h.rank,
     row_number() OVER (PARTITION BY h.query_id, n.sem, n.yy, n.points ORDER BY h.rank) AS rn
-  FROM {hits} h JOIN {notices} n ON n.chunk_uid = h.chunk_uid WHERE n.kind = 5 AND n.doc_id = h.query_id) WHERE rn = 1""")
+  FROM {hits} h JOIN {notices} n ON n.chunk_uid = h.chunk_uid WHERE n.kind = 5 AND n.doc_id = h.query_id) WHERE rn = 1"""
+
+
+@query("student_records", "query_id bigint, msv string, ho_ten string, diem string, xep_loai string, hoc_ky string, ord bigint", _RECORDS)
 def _(t):
     targets = t.questions.select("query_id", F.concat(F.lit("22"), F.lpad(col("query_id").cast("string"), 8, "0")).alias("target_id"))
     return A.student_records(t.hits, targets)
 
 
-@query("student_record_answers", "query_id bigint, msv string, answer string")
+@query("student_record_answers", "query_id bigint, msv string, answer string", f"""
+SELECT query_id, msv, '**Điểm rèn luyện** của **' || arg_min(ho_ten, ord) || '** (MSV: `' || msv || '`):' || chr(10) || chr(10)
+  || string_agg('- **' || hoc_ky || '**: **' || diem || ' điểm** — Xếp loại: ' || xep_loai, chr(10) ORDER BY ord) AS answer
+FROM ({_RECORDS}) GROUP BY query_id, msv""")
 def _(t):
     targets = t.questions.select("query_id", F.concat(F.lit("22"), F.lpad(col("query_id").cast("string"), 8, "0")).alias("target_id"))
     return A.record_answers(A.student_records(t.hits, targets))
@@ -96,14 +128,7 @@ SELECT query_id, answer FROM (SELECT o_orderkey AS query_id, CASE WHEN kind = 1
  || '**Mức học phí (đồng/tín chỉ):**' || chr(10) || '- Khóa 11: **' || '6.' || money3 || '.000**' || chr(10) || '- Khóa 12: **120.000**' || chr(10) || '- Khóa 13: **130.000**' || chr(10) || chr(10)
  || '**Các khoản lệ phí:**' || chr(10) || '- Học phí kỳ ' || sem || ': **6.' || money3 || '.000đ**' || chr(10) || '- Tiền nước uống: **120.000đ**' || chr(10) || '- Tổng cộng: **130.000đ**' || chr(10) || chr(10)
  || '**Cổng thanh toán:** https://pay.example.org/k' || sem || chr(10) || '**Phương thức nộp:**' || chr(10)
- || '- Nộp tiền mặt tại Phòng Kế hoạch - Tài chính (Tầng 1, tòa nhà 31 Dịch Vọng Hậu).' || chr(10) || '- Nộp qua QR-Code động trên cổng sinh viên.' END AS answer, kind, sem FROM {notices})
-WHERE kind = 1 AND sem <> '3'""")
-def _(t):
-    return A.fee_answers(t.cases).where("fee_answer IS NOT NULL AND kind = 1 AND query NOT LIKE '%kỳ 3%'").select(
-        "query_id", col("fee_answer").alias("answer"))
-
-
-@query("answer_fee_notice_all", "query_id bigint, answer string")
+ || '- Nộp tiền mặt tại Phòng Kế hoạch - Tài chính (Tầng 1, tòa nhà 31 Dịch Vọng Hậu).' || chr(10) || '- Nộp qua QR-Code động trên cổng sinh viên.' END AS answer FROM {notices})""")
 def _(t):
     return A.fee_answers(t.cases).select("query_id", col("fee_answer").alias("answer"))
 
@@ -118,20 +143,19 @@ def _(t):
 
 
 # --- sections, tables, outline ----------------------------------------------
-@query("context_sections", "query_id bigint, idx bigint, title string, items string", """
-SELECT * FROM (SELECT o_orderkey AS query_id, 0 AS idx, 'Đối tượng miễn giảm học phí theo phụ lục 1' AS title, 'x' AS items, kind FROM {notices}) WHERE FALSE
-UNION ALL BY NAME SELECT o_orderkey AS query_id, 0 AS idx, 'Điều 1. Đối tượng miễn giảm học phí theo phụ lục 1' AS title,
-  'Sinh viên thuộc hộ nghèo, năm học ' || yy || '-' || yy2 || '|Hồ sơ gồm giấy khai sinh và đơn số ' || dd AS items, kind FROM {notices} WHERE kind = 2
-UNION ALL BY NAME SELECT o_orderkey AS query_id, 1 AS idx, 'Thời gian nộp hồ sơ' AS title,
-  'Từ ngày ' || dd || '/' || mm || '/' || yy || ' đến hết kỳ ' || sem || '|Nghị định 81/2021 áp dụng phụ lục 2 mức ' || money3 || '.000' AS items, kind FROM {notices} WHERE kind = 2""".replace(
-    "SELECT * FROM (SELECT o_orderkey AS query_id, 0 AS idx, 'Đối tượng miễn giảm học phí theo phụ lục 1' AS title, 'x' AS items, kind FROM {notices}) WHERE FALSE\nUNION ALL BY NAME ", "").replace("'Điều 1. Đối tượng miễn giảm học phí theo phụ lục 1'", "'Đối tượng miễn giảm học phí theo phụ lục 1'"))
+_ITEMS = """'Từ ngày ' || dd || '/' || mm || '/' || yy || ' đến hết kỳ ' || sem || '{sep}Nghị định 81/2021 áp dụng phụ lục 2 mức ' || money3 || '.000'"""
+_DECREE = "'Sinh viên thuộc hộ nghèo, năm học ' || yy || '-' || yy2 || '{sep}Hồ sơ gồm giấy khai sinh và đơn số ' || dd"
+
+
+@query("context_sections", "query_id bigint, idx bigint, title string, items string", f"""
+SELECT o_orderkey AS query_id, 0 AS idx, 'Điều 1. Đối tượng miễn giảm học phí theo phụ lục 1' AS title, {_DECREE.format(sep="|")} AS items FROM {{notices}} WHERE kind = 2
+UNION ALL SELECT o_orderkey, 1, 'Thời gian nộp hồ sơ', {_ITEMS.format(sep="|")} FROM {{notices}} WHERE kind = 2""")
 def _(t):
-    # The numbered line folds to 'ieu 1 …', so it is a heading by its colon.
-    sections = A.generic_sections(t.cases.withColumn("context", F.regexp_replace("context", "Điều 1. ", "")))
-    return sections.select("query_id", "idx", "title", F.array_join("items", "|").alias("items"))
+    return A.generic_sections(t.cases).select("query_id", "idx", "title", F.array_join("items", "|").alias("items"))
 
 
-@query("context_four_sections", "query_id bigint, section string, items string")
+@query("context_four_sections", "query_id bigint, section string, items string",
+       f"SELECT o_orderkey AS query_id, 'Thời gian nộp hồ sơ' AS section, {_ITEMS.format(sep='|')} AS items FROM {{notices}} WHERE kind = 2")
 def _(t):
     return A.four_sections(t.cases).select("query_id", "section", F.array_join("items", "|").alias("items"))
 
@@ -151,7 +175,15 @@ def _(t):
     return t.notices.select(col("o_orderkey").alias("query_id"), F.array_join(A.compact_table(F.array(F.lit("A")), rows), "\n").alias("md"))
 
 
-@query("context_outlines", "query_id bigint, outline string")
+_HEAD = "'**Văn bản: ' || title || ' | Số: ' || doc_number || ' | Ngày: ' || coalesce(date, 'Không rõ') || '**' || chr(10) || chr(10) || '**Nội dung chính theo yêu cầu:** ' || query || chr(10) || chr(10) || "
+_OUTLINES = f"""
+SELECT query_id, CASE kind WHEN 1 THEN {_HEAD} '**Bảng dữ liệu liên quan:**' || chr(10) || chr(10) || '| STT | Nội dung thu | Số tiền |' || chr(10) || '| --- | --- | --- |' || chr(10)
+    || '| 1 | Học phí kỳ ' || sem || ' | 6.' || money3 || '.000 đ |' || chr(10) || '| 2 | Tiền nước uống | 120.000 đ |' || chr(10) || '| 2 | tiền nước uống | 130.000 đ |'
+  ELSE {_HEAD} '**Điều 1. Đối tượng miễn giảm học phí theo phụ lục 1:**' || chr(10) || '- ' || {_DECREE} || chr(10) || chr(10) || '**Thời gian nộp hồ sơ:**' || chr(10) || '- ' || {_ITEMS} END AS outline
+FROM (SELECT c.query_id, c.query, n.* FROM {{cases}} c JOIN {{notices}} n ON n.o_orderkey = c.query_id) WHERE kind <= 2""".replace("{sep}", "' || chr(10) || '- ")
+
+
+@query("context_outlines", "query_id bigint, outline string", _OUTLINES)
 def _(t):
     return A.outlines(t.cases)
 
@@ -198,26 +230,48 @@ def _(t):
     return t.cases.select("query_id", A.grounded(col("answer"), col("context")).alias("answer"))
 
 
-@query("answer_noisy_contexts", "query_id bigint", f"""
-SELECT query_id FROM (SELECT query_id, any_value(query) AS query, count(*) AS n, count(*) FILTER (WHERE content_type IN ('table_html_scan', 'table_md_scan', 'table_md')) AS a,
-  count(*) FILTER (WHERE content_type = 'text') AS b, count(*) FILTER (WHERE lower(title) IN ('', 'không xác định')) AS u FROM {{hits}} WHERE content_type NOT IN ('text', 'student_list') GROUP BY query_id)
-WHERE {_any('lower(query)', V.SAFE_QUERY_TERMS)} AND a >= greatest(3, floor(n * 0.7)) AND b = 0 AND u >= greatest(2, floor(n * 0.6))""")
-def _(t):
-    return A.noisy_queries(hits_with_intent(t).where("content_type NOT IN ('text', 'student_list')"))
+def _noisy_sql(hits: str) -> str:
+    return f"""SELECT query_id FROM (SELECT query_id, any_value(query) AS query, count(*) AS n, count(*) FILTER (WHERE content_type IN ('table_html_scan', 'table_md_scan', 'table_md')) AS a,
+  count(*) FILTER (WHERE content_type = 'text') AS b, count(*) FILTER (WHERE lower(title) IN ('', 'không xác định')) AS u FROM {hits} GROUP BY query_id)
+WHERE {_any('lower(query)', V.SAFE_QUERY_TERMS)} AND a >= greatest(3, floor(n * 0.7)) AND b = 0 AND u >= greatest(2, floor(n * 0.6))"""
 
 
-@query("answer_safe_facts", "query_id bigint, answer string")
+@query("answer_noisy_contexts", "query_id bigint", _noisy_sql("{scan_hits}"))
+def _(t):
+    return A.noisy_queries(t.scan_hits)
+
+
+_PLAIN = S.strip(S.rep(S.rep("content", "<[^>]+>", " "), f"[{S.WS}]+", " "))
+_DAY = f"(?:^|{S.NOT_WORD})([0-9]{{1,2}}[/-][0-9]{{1,2}}[/-][0-9]{{4}})(?:$|{S.NOT_WORD})"
+_SPAN = f"(?:^|{S.NOT_WORD})(20[0-9]{{2}}\\s*[-/]\\s*20[0-9]{{2}})(?:$|{S.NOT_WORD})"
+_FACT = ", ".join(f"CASE WHEN {_any('f', marks)} THEN '- {fact}' END" for marks, fact in V.SAFE_FACTS)
+
+
+@query("answer_safe_facts", "query_id bigint, answer string", f"""
+SELECT query_id, '**Tài liệu liên quan:** ' || src || chr(10) || chr(10) || '{V.SAFE_LEAD}' || chr(10)
+  || coalesce(nullif(concat_ws(chr(10), '- Nội dung có nhắc tới năm học **' || nullif(y, '') || '**.', {_FACT},
+    '- Mốc thời gian OCR đọc được: ' || nullif(array_to_string(days, ', '), '') || '.'), ''), '- {V.SAFE_NOTHING}')
+  || chr(10) || chr(10) || '{V.SAFE_TAIL}' AS answer
+FROM (SELECT query_id, src, {S.fold_query('src || chr(32) || text')} AS f, replace(regexp_replace(regexp_extract(src || ' ' || text, '{_SPAN}', 1), '\\s+', '', 'g'), '/', '-') AS y,
+    ['`' || d || '`' FOR d IN list_filter(ds, lambda x, i: list_position(ds, x) = i)[1:2]] AS days
+  FROM (SELECT *, regexp_extract_all(text, '{_DAY}', 1) AS ds FROM (
+    SELECT query_id, arg_min(regexp_replace(regexp_replace(source, '^\\d{{14}}_', ''), '_(\\d{{4}})\\.pdf$', '.pdf'), rank) AS src,
+      coalesce(string_agg(p, ' ' ORDER BY rank) FILTER (WHERE length(p) >= 30), '') AS text
+    FROM (SELECT *, {_PLAIN} AS p FROM {{scan_hits}} WHERE query_id IN ({_noisy_sql('{scan_hits}')})) GROUP BY query_id)))""")
 def _(t):
-    return A.safe_answers(hits_with_intent(t).where("content_type NOT IN ('text', 'student_list')"))
+    return A.safe_answers(t.scan_hits)
 
 
-@query("answer_precedence", "query_id bigint, answer_kind string", """
-SELECT query_id, CASE WHEN kind = 5 THEN 'records' WHEN kind = 2 AND query LIKE 'Doi tuong%' THEN 'exemption' WHEN kind = 1 AND query NOT LIKE '%kỳ 3%' THEN 'fee' WHEN kind = 3 THEN 'directives' ELSE 'generated' END AS answer_kind FROM {cases}""")
+@query("answer_precedence", "query_id bigint, answer_kind string", f"""
+SELECT query_id, CASE WHEN kind = 5 THEN 'records' WHEN query_id IN ({_noisy_sql('{case_hits}')}) THEN 'safe'
+  WHEN kind = 2 AND query LIKE 'Doi tuong%' THEN 'exemption' WHEN kind = 1 THEN 'fee' WHEN kind = 3 THEN 'directives' ELSE 'generated' END AS answer_kind FROM {{cases}}""")
 def _(t):
-    rows = A.fee_answers(t.cases)
-    fee = F.when(~col("query").contains("kỳ 3"), col("fee_answer"))
+    targets = t.cases.where("kind = 5").select("query_id", F.concat(F.lit("22"), F.lpad(col("doc_id").cast("string"), 8, "0")).alias("target_id"))
+    records = A.record_answers(A.student_records(case_hits(t), targets)).select("query_id", col("answer").alias("records"))
+    safe = A.safe_answers(case_hits(t)).select("query_id", col("answer").alias("safe"))
+    rows = A.fee_answers(t.cases).join(records, "query_id", "left").join(safe, "query_id", "left")
     best = A.choose_answer({
-        "records": F.when(col("kind") == 5, "x"), "safe": F.lit(None).cast("string"),
-        "exemption": A.exemption_answer(col("query"), col("context")), "fee": fee,
+        "records": col("records"), "safe": col("safe"),
+        "exemption": A.exemption_answer(col("query"), col("context")), "fee": col("fee_answer"),
         "directives": A.directive_answer(col("query"), col("context")), "generated": col("answer")})
     return rows.select("query_id", best.alias("b")).select("query_id", "b.answer_kind")

@@ -101,8 +101,12 @@ def _(t):
 @query("chunks_reset", "chunk_uid string, content string",
        "SELECT chunk_uid, 'new' AS content FROM {notices} WHERE kind <= 3")
 def _(t):
-    old = t.notices.select("chunk_uid", col("title").alias("content"))
-    return K.upsert(K.reset_chunks(old), t.notices.where("kind <= 3").select("chunk_uid", F.lit("new").alias("content")))
+    path = shared_folder(t.spark, "reset")
+    slim = t.notices.select("chunk_uid", "doc_id", "kind", col("title").alias("content"))
+    K.write_chunks(t.spark, slim.where("kind >= 2").drop("kind"), path, 8)
+    K.reset_chunks(t.spark, path)
+    K.write_chunks(t.spark, slim.where("kind <= 3").withColumn("content", F.lit("new")).drop("kind"), path, 8, batch=1)
+    return K.read_chunks(t.spark, path)
 
 
 @query("messages_append", "session_id string, turn bigint, role string, content string", f"""

@@ -45,9 +45,10 @@ def compact_chunks(spark: SparkSession, path: str, target: str, buckets: int = 6
     write_chunks(spark, read_chunks(spark, path).drop("doc_bucket"), target, buckets, -1)
 
 
-def reset_chunks(chunks: DataFrame) -> DataFrame:
-    """Empty store of the same schema."""
-    return chunks.limit(0)
+def reset_chunks(spark: SparkSession, path: str) -> None:
+    """Drop all batches of a store; it holds no file until the next one is written."""
+    empty = spark.read.parquet(path).limit(0)
+    empty.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("store_batch", "doc_bucket").parquet(path)
 
 
 def turn_messages(turns: DataFrame) -> DataFrame:
