@@ -83,3 +83,15 @@ def test_ingest_orders_tables_after_text(spark):
     assert [r.chunk_type for r in rows] == ["text", "table", "table", "table", "table", "text"]
     assert [r.content for r in rows[1:5]] == ["| x | first |", "| b | part |", "| y | second |", "| z | ten |"]
     assert [r.chunk_id for r in rows] == [f"chunk_{i}" for i in range(1, 7)]
+
+
+def test_reset_store_holds_only_later_batches(spark, tmp_path):
+    from corpusmill.sources import sinks
+
+    path = str(tmp_path / "store")
+    rows = lambda *ids: spark.createDataFrame([(i, 1) for i in ids], "chunk_uid string, doc_id long")
+    sinks.write_chunks(spark, rows("a", "b"), path, 2)
+    sinks.write_chunks(spark, rows("c"), path, 2, batch=1)
+    sinks.reset_chunks(spark, path)
+    sinks.write_chunks(spark, rows("d"), path, 2, batch=2)
+    assert [r.chunk_uid for r in sinks.read_chunks(spark, path).collect()] == ["d"]
