@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.columns import seeded, whole, words
+from corpusmill.llm.columns import SPACE, SPACES, seeded, whole, words
 from corpusmill.session import written
 
 
@@ -60,14 +60,25 @@ def _picked(x: Column, block: int) -> Column:
     from a seeded start: block j is chosen if (j + start) k / m passes a whole number.
     """
     j = F.floor(x / block)
-    step = lambda i: F.floor((i + F.col("start")) * F.col("k") / F.col("m"))
-    return block * (step(j) - step(F.lit(0))) + (step(j + 1) - step(j)) * (x - block * j)
+    return block * (_step(j) - _step(F.lit(0))) + (_step(j + 1) - _step(j)) * (x - block * j)
 
 
-def mix(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *,
-    weights: Sequence[float] = (5, 2, 1), epochs: int = 3, block: int = 32, shard_words: int = 1_000_000, seed: int = 9,
-) -> DataFrame:
+def _step(i: Column) -> Column:
+    return F.floor((i + F.col("start")) * F.col("k") / F.col("m"))
+
+
+def _ranges(low: Column, high: Column, block: int) -> Column:
+    """The runs of words of [low, high) of a shard that lie in its chosen blocks, counted from ``low``."""
+    chosen = lambda j: _step(j + 1) > _step(j)
+    one, last = F.floor(low / block), F.floor((high - 1) / block)
+    blocks = F.sequence(one, last)
+    opens = F.filter(blocks, lambda j: chosen(j) & ((j == one) | ~chosen(j - 1)))
+    ends = F.filter(blocks, lambda j: chosen(j) & ((j == last) | ~chosen(j + 1)))
+    return F.when(high > low, F.zip_with(opens, ends, lambda a, b: F.struct(
+        F.greatest(a * block - low, F.lit(0)).cast("int").alias("low"), (F.least((b + 1) * block, high) - low).cast("int").alias("high"))))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **settings) -> DataFrame:
     """Per input row: id, size, source_size, target and ``taken``, the words the mix takes.
 
     All words of the table are dealt out again in blocks of ``block`` words: to the
@@ -79,7 +90,18 @@ def mix(
     Null and empty texts have size 0 and nothing is taken of them; a null source is
     one more source, the last; rows with a null or repeated id count separately.
     """
-    sizes = written(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.size(words(whole(F.col(text_col)))).cast("long").alias("size")), "mixing")
+    return dealt_ranges(docs, id_col, text_col, source_col, **settings).drop("ranges")
+
+
+def dealt_ranges(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, row: Sequence[str] = (),
+    weights: Sequence[float] = (5, 2, 1), epochs: int = 3, block: int = 32, shard_words: int = 1_000_000, seed: int = 9,
+) -> DataFrame:
+    """The columns of ``mix``, behind the columns named in ``row``, and ``ranges``: the words
+    [low, high) of the row that lie in chosen blocks. What is taken is those words and
+    whole passes besides.
+    """
+    sizes = written(docs.select(*row, F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.size(words(whole(F.col(text_col)))).cast("long").alias("size")), "mixing")
     sources = written(source_targets(sizes, weights, epochs), "mixing-sources")
     blocks = F.round(F.sum("source_size").over(Window.partitionBy(F.lit(1))) / block).cast("long")
     quotas = apportion(sources.select("*", blocks.alias("n"), F.lit(0).alias("all_sources")), "all_sources", "source_no", "target", "n")
@@ -87,7 +109,7 @@ def mix(
         F.col("source").alias("of"), "source_no", "source_size", "target", F.coalesce("quota", F.lit(0)).alias("seats"),
         F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).cast("long").alias("n_shards"))
     placed = sizes.join(planned, F.col("source").eqNullSafe(F.col("of"))).select(
-        "id", "size", "source_no", "source_size", "target", "seats", F.pmod(seeded(seed, F.col("id")), F.col("n_shards")).alias("shard"), seeded(seed + 1, F.col("id")).alias("key"))
+        *row, "id", "size", "source_no", "source_size", "target", "seats", F.pmod(seeded(seed, F.col("id")), F.col("n_shards")).alias("shard"), seeded(seed + 1, F.col("id")).alias("key"))
     shards = placed.groupBy("source_no", "shard").agg(F.sum("size").alias("shard_size"), F.first("seats").alias("seats"))
     shares = apportion(shards, "source_no", "shard", "shard_size", "seats")
     dealt = (
@@ -99,15 +121,23 @@ def mix(
     line = Window.partitionBy("source_no", "shard").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
     laid = placed.withColumn("end", F.sum("size").over(line)).join(dealt, ["source_no", "shard"], "left")
     taken = F.col("passes") * F.col("size") + _picked(F.col("end"), block) - _picked(F.col("end") - F.col("size"), block)
-    return laid.select(F.col("id").alias(id_col), "size", "source_size", "target", F.coalesce(taken, F.lit(0)).cast("long").alias("taken"))
+    ranges = _ranges(F.col("end") - F.col("size"), F.col("end"), block)
+    return laid.select(*row, F.col("id").alias(id_col), "size", "source_size", "target", F.coalesce(taken, F.lit(0)).cast("long").alias("taken"), ranges.alias("ranges"))
 
 
 def mixed(docs: DataFrame, **settings) -> DataFrame:
-    """``docs`` with texts of the taken words: whole copies, one below the other, then
-    the first words of one more copy; documents of which nothing is taken go.
+    """``docs`` with texts of the taken words: whole copies, then the ranges of the chosen
+    blocks, one below the other; inside a range the text is as it was. Rows of which
+    nothing is taken go.
+
+    Rows are numbered on disk, so each gets its own words, also where ids repeat.
     """
-    taken = mix(docs.select("doc_id", "text", "source"), **settings).where("taken > 0").groupBy("doc_id").agg(F.max("taken").alias("_taken"), F.max("size").alias("_size"))
-    columns = docs.columns
-    both = docs.join(taken, "doc_id").withColumn("_copies", F.floor(F.col("_taken") / F.col("_size")).cast("int")).withColumn("_more", (F.col("_taken") % F.col("_size")).cast("int"))
-    parts = F.concat(F.array_repeat("text", F.col("_copies")), F.when(F.col("_more") > 0, F.array(F.array_join(F.slice(words(F.col("text")), F.lit(1), F.greatest(F.col("_more"), F.lit(1))), " "))).otherwise(F.array().cast("array<string>")))
-    return both.withColumn("text", F.array_join(parts, "\n")).select(*columns)
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "mixed-rows")
+    taken = dealt_ranges(rows.select("_row", "doc_id", "text", "source"), row=("_row",), **settings).where("taken > 0").select(
+        "_row", F.floor(F.col("taken") / F.col("size")).cast("int").alias("_copies"), F.when(F.col("taken") % F.col("size") > 0, F.col("ranges")).alias("_ranges"))
+    both = rows.join(taken, "_row")
+    cut = lambda spelled: F.transform("_ranges", lambda r: F.rtrim(F.array_join(F.slice(spelled, r["low"] + 1, r["high"] - r["low"]), ""), F.lit(SPACES)))
+    # bound as a variable, so that a text is split once for all of its ranges
+    spelled = F.array(F.regexp_extract_all("text", F.lit(f"{SPACE.replace('[', '[^')}+{SPACE}*"), F.lit(0)))
+    parts = F.concat(F.array_repeat("text", F.col("_copies")), F.when(F.col("_ranges").isNotNull(), F.flatten(F.transform(spelled, cut))).otherwise(F.array().cast("array<string>")))
+    return both.withColumn("text", F.array_join(parts, "\n")).select(*docs.columns)

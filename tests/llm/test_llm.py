@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -285,6 +286,24 @@ def test_mixed_texts_have_the_taken_words(docs):
     assert {i: len(words(r.text)) for i, r in got.items()} == {i: n for i, n in taken.items() if n}
 
 
+def test_mixed_texts_are_the_words_of_the_chosen_blocks(docs, rows):
+    settings, texts = {"block": 4, "shard_words": 500}, {i: t or "" for i, t, *_ in rows}
+    got = {r.doc_id: r.text for r in mixing.mixed(docs, **settings).collect()}
+    tails = 0
+    for r in mixing.dealt_ranges(docs, **settings).where("taken > 0").collect():
+        own, text = words(texts[r.doc_id]), texts[r.doc_id]
+        copies, more = divmod(r.taken, r.size)
+        picked = [w for a in r.ranges for w in own[a.low : a.high]] if more else []
+        assert len(picked) == more and all(a.high < b.low for a, b in zip(r.ranges, r.ranges[1:]))
+        assert words(got[r.doc_id]) == own * copies + picked, r.doc_id
+        pieces = got[r.doc_id][len("\n".join([text] * copies)) :].encode()
+        for a in r.ranges if more else []:  # white space inside a range is the text's
+            at = [m.span() for m in re.finditer(rb"[^ \t-\r]+", text.encode())]
+            assert text.encode()[at[a.low][0] : at[a.high - 1][1]] in pieces
+        tails += bool(more) and r.ranges[-1].high > more
+    assert tails > 5
+
+
 OPERATORS = {
     "rules": quality_rules.quality_rules, "lines": line_dedup.line_dedup, "substring": substring_dedup.substring_dedup, "suffix": suffix_dedup.suffix_dedup,
     "minhash": minhash.near_duplicates, "avi": avi.media_columns, "packing": packing.pack, "mixing": mixing.mix,
