@@ -32,6 +32,11 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def nonzero(x: np.ndarray) -> np.ndarray:
+    """64-bit hashes as signed numbers, 0 as 1."""
+    return np.where(x == 0, np.uint64(1), x).view(np.int64)
+
+
 def prefix_sums(values: np.ndarray, base: int = P) -> np.ndarray:
     """One more element than values: the weighted sums of all prefixes."""
     sums = np.zeros(len(values) + 1, np.uint64)

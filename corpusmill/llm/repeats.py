@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 COLUMNS = ("key", "context", "id", "at", "span", "seen")
-SCHEMA = "key long, context int, id long, at int, span int, seen boolean"
-KINDS = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
+SCHEMA = "key long, context long, id long, at int, span int, seen boolean"
+KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
 MARKS = "key long, id long, at int, span int, repeated boolean, open boolean, first boolean"
 
 

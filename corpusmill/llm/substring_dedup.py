@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.hashing import P, prefix_sums, run_hashes, word_bounds
+from corpusmill.llm.hashing import P, mixed, nonzero, prefix_sums, run_hashes, word_bounds
 from corpusmill.llm.repeats import SCHEMA, marked, settled
 from corpusmill.session import written
 
@@ -29,9 +29,9 @@ def word_sums(text: str | None) -> tuple[bytes, np.ndarray, np.ndarray, list[np.
 
 
 def passage_hashes(sums: list[np.ndarray], start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64 and 31 independent bits for each run of words; the second is never 0."""
+    """Two independent hashes of 64 bits for each run of words; the second is never 0."""
     a, b = run_hashes(sums[0], start, end, P), run_hashes(sums[1], start, end, SECOND)
-    return a.view(np.int64), ((b >> np.uint64(33)).astype(np.int32) | 1)
+    return a.view(np.int64), nonzero(b)
 
 
 def anchors(sums: list[np.ndarray], window: int) -> tuple[np.ndarray, ...]:
@@ -45,9 +45,8 @@ def anchors(sums: list[np.ndarray], window: int) -> tuple[np.ndarray, ...]:
     at = at[np.isin(at % PERIOD, COVER)]
     low, high = np.maximum(at - (PERIOD - 1), 0), np.minimum(at + window, n)
     key, _ = passage_hashes(sums, at, at + width)
-    context, more = passage_hashes(sums, low, high)
-    context = (context ^ (at - low) * np.int64(0x632BE59BD9B4E019)) >> np.int64(33)
-    return key, (context.astype(np.int32) ^ more) | 1, at, np.zeros(len(at), np.int64)
+    context = run_hashes(sums[1], low, high, SECOND) + (at - low).astype(np.uint64) * np.uint64(0x632BE59BD9B4E019)
+    return key, nonzero(mixed(context)), at, np.zeros(len(at), np.int64)
 
 
 def _sightings(batch: pa.RecordBatch, of) -> Iterator[pa.RecordBatch]:

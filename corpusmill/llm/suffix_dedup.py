@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.hashing import mixed, prefix_sums, run_hashes
+from corpusmill.llm.hashing import mixed, nonzero, prefix_sums, run_hashes
 from corpusmill.llm.repeats import SCHEMA, marked, settled
 from corpusmill.llm.suffixes import shared, suffix_order
 from corpusmill.session import written
@@ -44,7 +44,7 @@ def segments(raw: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
         number = np.diff(np.append(first, len(place)))
         end = first + number - 1 + length
         context = run_hashes(sums, first, end) + (place[first] - first).astype(np.uint64) * np.uint64(0x632BE59BD9B4E019)
-        for c, v in zip(kept, (mixed(grams[place[first]]).view(np.int64), (mixed(context) >> np.uint64(33)).astype(np.int32) | 1, base + first, number)):
+        for c, v in zip(kept, (mixed(grams[place[first]]).view(np.int64), nonzero(mixed(context)), base + first, number)):
             c.append(v)
     return tuple(np.concatenate(c) for c in kept) if kept[0] else (np.zeros(0, np.int64),) * 4
 

@@ -115,6 +115,19 @@ def test_suffix_dedup(docs, rows, small_blocks, monkeypatch):
         assert got[i][:4] == (len(b), sum(gone), spans, hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest()), i
 
 
+def test_contexts_have_64_bits():
+    """100,000 surroundings of one anchor: 30 or 31 bits would tell some of them apart no more."""
+    r = np.random.default_rng(1)
+    sums = [np.concatenate([np.zeros(1, np.uint64), r.integers(0, 1 << 63, 300_000).astype(np.uint64)]) for _ in range(2)]
+    _, context, _, _ = substring_dedup.anchors([np.cumsum(s) for s in sums], 35)
+    _, second = substring_dedup.passage_hashes(sums, np.arange(100_000), np.arange(100_000) + 35)
+    _, own, _, _ = suffix_dedup.segments(r.integers(0, 256, 6_000_000).astype(np.uint8), 100)
+    for found in (context, second, own):
+        upper = (found >> 32).astype(np.int32)
+        assert found.dtype == np.int64 and found.all() and len(found) > 60_000 and len(np.unique(found)) == len(found)
+        assert len(np.unique(upper)) > 0.999 * len(upper)
+
+
 def test_near_duplicates(docs, rows):
     sets = {}
     for i, text, *_ in rows:
