@@ -115,6 +115,34 @@ def test_suffix_dedup(docs, rows, small_blocks, monkeypatch):
         assert got[i][:4] == (len(b), sum(gone), spans, hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest()), i
 
 
+@pytest.mark.parametrize("batch, parts", [(10_000, 1), (10_000, 5), (2, 1), (3, 5)])
+def test_suffix_dedup_keeps_repeated_rows(spark, batch, parts):
+    """Rows of one id are one document: only what starts earlier goes."""
+    r = random.Random(8)
+    text = lambda n: "".join(r.choice("abcdefghij") for _ in range(n))
+    one, two, mid = text(900), text(700), text(130)
+    data = {3: one, 5: two + mid, 6: text(90) + one[100:600] + mid + text(150), 7: one, 9: text(200) + mid + mid}
+    table = [(i, x) for i, x in data.items() for _ in range(1 if i == 5 else 3)]
+    r.shuffle(table)
+    docs = spark.createDataFrame(table, "doc_id long, text string").repartition(parts)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = suffix_dedup.suffix_dedup(docs).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    seen, left = set(), {}
+    for i, x in data.items():
+        gone = set()
+        for p in range(len(x) - 99):
+            gone |= set(range(p, p + 100)) if x[p : p + 100] in seen else set()
+            seen.add(x[p : p + 100])
+        left[i] = (len(gone), hashlib.sha256("".join(c for p, c in enumerate(x) if p not in gone).encode()).hexdigest())
+    assert left[3][0] == left[5][0] == 0 and left[7][0] == 900 and len(got) == len(table)
+    for g in got:
+        assert (g.n_removed, g.kept_sha256) == left[g.doc_id], g.doc_id
+
+
 def test_contexts_have_64_bits():
     """100,000 surroundings of one anchor: 30 or 31 bits would tell some of them apart no more."""
     r = np.random.default_rng(1)
