@@ -99,7 +99,7 @@ def dealt_ranges(
 ) -> DataFrame:
     """The columns of ``mix``, behind the columns named in ``row``, and ``ranges``: the words
     [low, high) of the row that lie in chosen blocks. What is taken is those words and
-    whole passes besides.
+    whole passes besides. Rows of equal id and size are laid out in the order of ``row``.
     """
     sizes = written(docs.select(*row, F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.size(words(whole(F.col(text_col)))).cast("long").alias("size")), "mixing")
     sources = written(source_targets(sizes, weights, epochs), "mixing-sources")
@@ -118,7 +118,7 @@ def dealt_ranges(
         .select(
             "source_no", "shard", "passes", "m", F.pmod(seeded(seed + 2, F.col("source_no"), F.col("shard")), F.col("m")).alias("start"),
             F.least(F.col("m"), F.round((F.col("words") - F.col("passes") * F.col("shard_size")) / block).cast("long")).alias("k")))
-    line = Window.partitionBy("source_no", "shard").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    line = Window.partitionBy("source_no", "shard").orderBy("key", "id", "size", *row).rowsBetween(Window.unboundedPreceding, 0)
     laid = placed.withColumn("end", F.sum("size").over(line)).join(dealt, ["source_no", "shard"], "left")
     taken = F.col("passes") * F.col("size") + _picked(F.col("end"), block) - _picked(F.col("end") - F.col("size"), block)
     ranges = _ranges(F.col("end") - F.col("size"), F.col("end"), block)
@@ -133,7 +133,7 @@ def mixed(docs: DataFrame, **settings) -> DataFrame:
     Rows are numbered on disk, so each gets its own words, also where ids repeat.
     """
     rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "mixed-rows")
-    taken = dealt_ranges(rows.select("_row", "doc_id", "text", "source"), row=("_row",), **settings).where("taken > 0").select(
+    taken = dealt_ranges(rows.select(F.xxhash64("text").alias("_mark"), "_row", "doc_id", "text", "source"), row=("_mark", "_row"), **settings).where("taken > 0").select(
         "_row", F.floor(F.col("taken") / F.col("size")).cast("int").alias("_copies"), F.when(F.col("taken") % F.col("size") > 0, F.col("ranges")).alias("_ranges"))
     both = rows.join(taken, "_row")
     cut = lambda spelled: F.transform("_ranges", lambda r: F.rtrim(F.array_join(F.slice(spelled, r["low"] + 1, r["high"] - r["low"]), ""), F.lit(SPACES)))

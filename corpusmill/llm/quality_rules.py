@@ -51,10 +51,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
         normal.alias("lines"))
 
 
-def quality_rules(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", *,
-    min_words: int = 10, max_repeat_percent: int = 20, min_documents: int = 20, host_share: float = 0.1, min_left: float = 0.5,
-) -> DataFrame:
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limits) -> DataFrame:
     """Verdict per input row: id, counts, ``base_failed``, ``chars_dropped`` and ``kept``.
 
     A line is above the limits of its host if at least ``min_documents`` different
@@ -67,6 +64,14 @@ def quality_rules(
     Null or empty texts have no words and fail the base rules; a null host is a host
     of its own; rows with a null id lose no lines; equal rows get equal results.
     """
+    return judged(docs, id_col, text_col, host_col, **limits).drop("host", "text_hash")
+
+
+def judged(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", *,
+    min_words: int = 10, max_repeat_percent: int = 20, min_documents: int = 20, host_share: float = 0.1, min_left: float = 0.5,
+) -> DataFrame:
+    """The columns of ``quality_rules``, and host and text_hash, which tell rows of one id apart."""
     base = written(measured(docs, id_col, text_col, host_col), "quality-rules")
     # (host, hash, text) is aggregated first, so a line or host with a third of all rows is spread.
     lines = base.where(F.col("id").isNotNull()).select("id", "host", "text_hash", F.explode("lines").alias("line")).select("id", "host", "text_hash", "line.h", "line.n")
@@ -86,14 +91,16 @@ def quality_rules(
     dropped = F.coalesce(F.floor(F.col("lost") / F.col("copies")), F.lit(0))
     lost = lost.join(copies, "id").select("id", dropped.alias("dropped"))
     return (
-        base.select("*", total.alias("chars"), failed.alias("base_failed")).drop("lines", "text_hash", "host").join(lost, "id", "left")
+        base.select("*", total.alias("chars"), failed.alias("base_failed")).drop("lines").join(lost, "id", "left")
         .select(
             F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
             F.coalesce("dropped", F.lit(0)).alias("chars_dropped"),
-            (~F.col("base_failed") & (F.col("chars") - F.coalesce("dropped", F.lit(0)) >= min_left * F.col("chars"))).alias("kept")))
+            (~F.col("base_failed") & (F.col("chars") - F.coalesce("dropped", F.lit(0)) >= min_left * F.col("chars"))).alias("kept"),
+            "host", "text_hash"))
 
 
 def keep_good(docs: DataFrame, **limits) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with their columns."""
-    good = quality_rules(docs.select("doc_id", "text", "source"), **limits).where("kept").select("doc_id").distinct()
-    return docs.join(good, "doc_id", "left_semi")
+    """The rows of ``docs`` that the rules keep, with their columns; each row by its own verdict."""
+    good = judged(docs.select("doc_id", "text", "source"), **limits).where("kept").select(F.col("doc_id").alias("id"), "host", "text_hash").distinct()
+    own = docs["doc_id"].eqNullSafe(good["id"]) & docs["source"].cast("string").eqNullSafe(good["host"]) & (F.xxhash64(whole(docs["text"])) == good["text_hash"])
+    return docs.join(good, own, "left_semi")

@@ -345,6 +345,22 @@ def test_mixed_texts_are_the_words_of_the_chosen_blocks(docs, rows):
     assert tails > 5
 
 
+def test_stages_keep_rows_of_null_and_repeated_ids(spark):
+    own = lambda i, n=50: " ".join(f"{i}w{k}" for k in range(n))
+    table = [(None, own("a"), "s"), (None, own("b"), None), (None, "too short", "s"), (1, own("c"), "s"), (1, "again " * 40, "s"), (1, own("d", 200), None), (2, own("e"), None), (2, own("e"), None)]
+    docs = spark.createDataFrame(table, "doc_id long, text string, source string").repartition(3)
+    good = quality_rules.keep_good(docs)
+    expected = [r for r in table if r[1] != "too short" and not r[1].startswith("again")]
+    assert Counter(map(tuple, good.collect())) == Counter(expected)
+    got = Counter(tuple(r) for r in mixing.mixed(good, block=8, weights=(1, 1)).collect())
+    assert sum(len(words(t)) * n for (_, t, _), n in got.items()) == sum(r.taken for r in mixing.mix(good, block=8, weights=(1, 1)).collect())
+    assert len([g for g in got if g[0] is None]) == 2
+    for i, text, source in got:  # every text is made of words of its own row
+        assert any((i, source) == (j, s) and set(words(text)) <= set(words(x)) for j, x, s in expected)
+    again = Counter(tuple(r) for r in mixing.mixed(good.repartition(5), block=8, weights=(1, 1)).collect())
+    assert again == got
+
+
 OPERATORS = {
     "rules": quality_rules.quality_rules, "lines": line_dedup.line_dedup, "substring": substring_dedup.substring_dedup, "suffix": suffix_dedup.suffix_dedup,
     "minhash": minhash.near_duplicates, "avi": avi.media_columns, "packing": packing.pack, "mixing": mixing.mix,
