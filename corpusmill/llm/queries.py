@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import avi, line_dedup, minhash, mixing, packing, quality_classifier, quality_rules, substring_dedup, suffix_dedup, toxicity
+from corpusmill.llm import (
+    avi, conversation_repair, line_dedup, minhash, mixing, packing, quality_classifier, quality_rules, spelling_variants,
+    substring_dedup, suffix_dedup, token_files, toxicity)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +60,21 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score(docs, quality_classifier.train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = token_files.token_folder(spark)
+    files = token_files.write_token_files(_table(spark, sf_dir, "documents"), folder)
+    return token_files.read_token_files(files, folder)
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling_variants.damaged_words(_table(spark, sf_dir, "documents"))
+    return spelling_variants.group_words(spelling_variants.frequent_words(words))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.damaged_and_repaired(_table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -67,7 +84,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     listed = (
         op1_quality_rules, op2_line_dedup, op3_substring_dedup, op4_suffix_dedup, op5_minhash, op6_toxicity, op7_avi,
-        op8_packing, op9_mixing, op10_quality_classifier, pipeline)
+        op8_packing, op9_mixing, op10_quality_classifier, op11_token_files, op12_spelling_variants, op13_conversation_repair, pipeline)
     return {f.__name__: f for f in listed}
 
 
@@ -138,8 +155,92 @@ FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN part ON part.doc_id = d.doc_
 """
 
 
+# The checksum of a list of bytes, its table made by the rule of the polynomial.
+CRC_TABLE = "list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"
+CRC32 = "xor(list_reduce(list_prepend(4294967295, {bytes}), lambda c, b: xor(c >> 8, crc[CAST(xor(c, b) & 255 AS INT) + 1])), 4294967295)"
+LETTER_BYTES = "flatten(list_transform(string_split({}, ''), lambda z: CASE WHEN unicode(z) < 128 THEN [unicode(z)::BIGINT] ELSE [195::BIGINT, unicode(z)::BIGINT - 64] END))"
+
+OP12 = f"""
+WITH RECURSIVE k AS MATERIALIZED (SELECT {CRC_TABLE} AS crc),
+runs AS (SELECT doc_id, run, count(*) AS n FROM (
+  SELECT doc_id, {ASCII_LOWER.format('run')} AS run FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents)) GROUP BY ALL),
+hashed AS (SELECT run, n, {CRC32.format(bytes=LETTER_BYTES.format("(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)"))} AS h FROM runs, k),
+words AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+  SELECT n, CASE WHEN h % 199 = 0 THEN substr(run, 1, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) AS INT) + 2) ELSE run END AS word FROM hashed)
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+gaps AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM words, unnest(range(1, length(word) + 1)) AS r(i)),
+pairs AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM gaps a JOIN gaps b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word AND length(a.word) = length(b.word)
+  UNION SELECT g.word, w.word, w.n FROM gaps g JOIN words w ON g.rest = w.word
+  UNION SELECT w.word, g.word, g.n FROM gaps g JOIN words w ON g.rest = w.word),
+best AS (SELECT word, count(*) AS n_near, arg_min(near, (-near_n, near)) AS near, max(near_n) AS near_n FROM pairs GROUP BY word),
+formed AS MATERIALIZED (SELECT words.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 5 * n THEN near END AS form, CASE WHEN near_n >= 5 * n THEN near_n END AS form_n
+  FROM words LEFT JOIN best ON words.word = best.word),
+walk AS (SELECT word, coalesce(form, word) AS top FROM formed UNION SELECT walk.word, formed.form FROM walk JOIN formed ON formed.word = walk.top WHERE formed.form IS NOT NULL)
+SELECT formed.word, form, top AS root, n, n_near, form_n FROM formed JOIN walk ON walk.word = formed.word
+WHERE top NOT IN (SELECT word FROM formed WHERE form IS NOT NULL)
+"""
+
+
+def _cheapest(*ways: str) -> str:
+    """The least (cost, audit, repaired) of several."""
+    return f"list_min([{', '.join(ways)}])"
+
+
+def _after(cost: str, letter: str, behind: str, line: str | None = None) -> str:
+    """The state ``behind`` with one more edit before it, and the repaired line it leaves."""
+    text = f"{behind}.t" if line is None else f"list_prepend({line}, {behind}.t)"
+    return f"{{'c': {behind}.c + {cost}, 'a': '{letter}' || {behind}.a, 't': {text}}}"
+
+
+def _turn(symbol: str, same: str, then: str) -> str:
+    """The ways of one turn where ``symbol`` is expected; ``same`` and ``then`` are the states
+    behind the turn if it goes or stays.
+    """
+    role = {"u": "user", "a": "assistant"}[symbol]
+    kept = f"CASE WHEN gone THEN NULL WHEN left(role, 1) = '{symbol}' THEN {_after('cut', 'K', then, 'line')} ELSE {_after('cut + 2', 'R', then, f"'{role}:' || text")} END"
+    return f"{_after('3', 'D', same)}, {kept}"
+
+
+# Backwards over the turns: what the rest costs where a user turn is expected or the end (u),
+# an assistant turn (a), a user turn behind a system turn (p), and at the beginning (b); w_ is
+# the same with no insertion before the turn.
+OP13 = f"""
+WITH RECURSIVE k AS MATERIALIZED (SELECT {CRC_TABLE} AS crc),
+hit AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  {CRC32.format(bytes="list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda z: unicode(z)::BIGINT)")} % 20 AS h
+  FROM conversations, k),
+damaged AS (SELECT conv_id, turn, CASE h WHEN 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM (SELECT *, unnest(range(CASE h WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM hit)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(CAST(length(role) AS VARCHAR) || ':' || role || text)) AS pos FROM damaged),
+faults AS (SELECT *, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS last, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS again,
+  lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY pos) || left(role, 1) AS pair FROM placed),
+turns AS MATERIALIZED (SELECT conv_id, turn, pos, role, text, role || ':' || text AS line, pair, last = '' AS blank, last <> '' AND again AS duplicate, last = '' OR again AS gone,
+  CAST(last <> '' AND NOT again AND last NOT IN ('.', '!', '?') AS INT) AS cut FROM faults),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE duplicate) AS duplicate,
+  sum(cut) AS truncated, count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal, max(pos) AS n FROM turns GROUP BY conv_id),
+back AS (
+  SELECT conv_id, n, {{'c': 0, 'a': '', 't': []::VARCHAR[]}} AS b, {{'c': 4, 'a': 'II', 't': ['user:', 'assistant:']}} AS p,
+    {{'c': 0, 'a': '', 't': []::VARCHAR[]}} AS u, {{'c': 2, 'a': 'I', 't': ['assistant:']}} AS a FROM counts
+  UNION ALL
+  SELECT conv_id, n,
+    {_cheapest('wb', _after('2', 'I', 'wu1', "'user:'"), _after('4', 'II', 'wa0', "'user:'").replace("list_prepend('user:', wa0.t)", "list_prepend('user:', list_prepend('assistant:', wa0.t))"))},
+    {_cheapest('wp', _after('2', 'I', 'wu1', "'user:'"), _after('4', 'II', 'wa0', "'user:'").replace("list_prepend('user:', wa0.t)", "list_prepend('user:', list_prepend('assistant:', wa0.t))"))},
+    {_cheapest('wa0', _after('2', 'I', 'wu1', "'user:'"))}, {_cheapest('wu1', _after('2', 'I', 'wa0', "'assistant:'"))}
+  FROM (SELECT back.conv_id, back.n - 1 AS n,
+      {_cheapest(_turn('u', 'b', 'a'), "CASE WHEN NOT gone AND left(role, 1) = 's' THEN " + _after('cut', 'K', 'p', 'line') + " END")} AS wb,
+      {_cheapest(_turn('u', 'p', 'a'))} AS wp, {_cheapest(_turn('u', 'u', 'a'))} AS wa0, {_cheapest(_turn('a', 'a', 'u'))} AS wu1
+    FROM back JOIN turns ON turns.conv_id IS NOT DISTINCT FROM back.conv_id AND turns.pos = back.n)),
+done AS (SELECT conv_id, b FROM back WHERE n = 0)
+SELECT ids.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate,
+  CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(b.c, 0) AS BIGINT) AS cost, coalesce(b.a, '') AS audit,
+  sha256(coalesce(array_to_string(b.t, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) ids LEFT JOIN counts ON counts.conv_id IS NOT DISTINCT FROM ids.conv_id LEFT JOIN done ON done.conv_id IS NOT DISTINCT FROM ids.conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that SQL can express; the others are tested against brute force,
     exact round trips and held-out labels.
     """
-    return {"op1_quality_rules": OP1, "op2_line_dedup": OP2, "op3_substring_dedup": OP3, "op5_minhash": OP5}
+    return {"op1_quality_rules": OP1, "op2_line_dedup": OP2, "op3_substring_dedup": OP3, "op5_minhash": OP5, "op12_spelling_variants": OP12, "op13_conversation_repair": OP13}
