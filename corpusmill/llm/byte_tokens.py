@@ -4,20 +4,20 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 from tokenizers import Tokenizer
 
-GENERATION = 400_000
+GENERATION = 800_000
 # White space as Unicode has it, which the tokenizers split at.
 WHITE = "\t-\r \x85\xa0  -     　"
 # Runs that byte-level tokenizers never join across: what stands between white space with
 # one space before it, and white space less the space that goes with the run behind it.
 RUN = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
-# A mark behind an ASCII letter or digit is a token run of its own.
-MARKED = re.compile(r".*[A-Za-z0-9][.,;:!?]", re.DOTALL)
+MARKS = ".,;:!?"
 
 
 def default_tokenizer() -> str:
@@ -26,6 +26,12 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _marked(run: str) -> bool:
+    """Whether the run ends in a mark behind an ASCII letter or digit, a token run of its own."""
+    before = run[-2:-1]
+    return run[-1] in MARKS and before.isascii() and before.isalnum()
+
+
 class ByteSpelled:
     """Ids of the runs met so far. Runs not met for a generation are forgotten."""
 
@@ -39,15 +45,19 @@ class ByteSpelled:
     def _look_up(self, runs: set[str]) -> None:
         if len(self.known) > GENERATION:
             self.older, self.known = self.known, {}
-        met = runs.difference(self.known)
-        again = met.intersection(self.older)
-        self.known.update((r, self.older[r]) for r in again)
+        known, older = self.known, self.older
+        met = runs.difference(known)
+        again = met.intersection(older)
+        for r in again:
+            known[r] = older[r]
         new = met - again
-        marked = [r for r in new if MARKED.fullmatch(r)]
-        spelled = list((new.difference(marked) | {r[:-1] for r in marked} | {r[-1:] for r in marked}).difference(self.known))
+        marked = [r for r in new if _marked(r)]
+        spelled = list((new.difference(marked) | {r[:-1] for r in marked} | {r[-1] for r in marked}).difference(known))
         found = self.tokenizer.encode_batch_fast(spelled, add_special_tokens=False)
-        self.known.update((r, np.array(e.ids, "<u4").tobytes()) for r, e in zip(spelled, found))
-        self.known.update((r, self.known[r[:-1]] + self.known[r[-1:]]) for r in marked)
+        for r, e in zip(spelled, found):
+            known[r] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+        for r in marked:
+            known[r] = known[r[:-1]] + known[r[-1]]
 
     def texts(self, texts: list[str | None]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text; new runs of all are looked up at
