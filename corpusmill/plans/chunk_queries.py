@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusmill.operators import chunking as C
+from corpusmill.operators import ingest_graph as I
 from corpusmill.operators import page_tables as P
 from corpusmill.operators import versions as V
 from corpusmill.plans import sqltext as S
-from corpusmill.plans.registry import query
+from corpusmill.plans import table_queries as TQ
+from corpusmill.plans.registry import REGISTRY, query
+from corpusmill.plans.tables import CTES
 
 col = F.col
 _PAGE_KEYS = "doc_id, page"
@@ -91,6 +94,63 @@ def _(t):
     return C.ingest(t.page_texts, documents, P.table_chunks(t.table_rows))
 
 
+# --- ingest of all kinds of files ---------------------------------------------
+# Oracle only: chunks of tables, the text chosen for each page, its first text, and sheets.
+CTES["ingest_tables"] = f"""
+SELECT doc_id, page, table_no, batch, part, content, content_type, 'pdfplumber' AS ocr_engine FROM ({REGISTRY['table_chunks'].sql.replace('{table_rows}', '{file_tables}')})
+UNION ALL SELECT doc_id, page, table_no, 0, part, content, content_type, 'ppstructure' FROM ({TQ.SCAN_CHUNKS}) WHERE doc_id % 2 <> 0
+  OR doc_id NOT IN (SELECT doc_id FROM ({REGISTRY['table_chunks'].sql.replace('{table_rows}', '{file_tables}')}))
+"""
+CTES["file_profile"] = f"""
+SELECT doc_id, coalesce(bool_or(length({S.strip('raw_text')}) >= 60) FILTER (WHERE page = 1), FALSE) AS has, greatest(max(page), 1) AS total,
+  min(raw_text) FILTER (WHERE page = 1) AS short FROM {{file_pages}} GROUP BY doc_id
+"""
+CTES["chosen_pages"] = f"""
+SELECT p.doc_id, page, raw_text, 'native_pdf' AS ocr_engine FROM {{file_pages}} p JOIN {{file_profile}} f ON f.doc_id = p.doc_id WHERE has
+UNION ALL SELECT r.doc_id, page, raw_text, 'hybrid_ocr' FROM (
+  SELECT doc_id, page, string_agg(line, chr(10) ORDER BY anchor) AS raw_text FROM ({REGISTRY['ocr_reading_lines'].sql}) WHERE doc_id % 3 <> 0 GROUP BY doc_id, page) r
+  LEFT JOIN {{file_profile}} f ON f.doc_id = r.doc_id WHERE NOT coalesce(has, FALSE)
+"""
+CTES["ingest_meta"] = f"""
+SELECT doc_id, {TQ.META_FIELDS} FROM (SELECT doc_id, {S.normalize_whitespace(S.normalize_unicode('raw'))} AS x FROM (
+  SELECT f.doc_id, coalesce(c.cleaned, n.raw_text, p.short, '') AS raw FROM {{files}} f LEFT JOIN {{file_profile}} p ON p.doc_id = f.doc_id
+  LEFT JOIN (SELECT doc_id, raw_text FROM {{chosen_pages}} WHERE ocr_engine = 'native_pdf' AND page = 1) n ON n.doc_id = f.doc_id
+  LEFT JOIN ({S.clean(f"(SELECT doc_id, page, raw_text FROM {{chosen_pages}} WHERE ocr_engine = 'hybrid_ocr' AND {S.fold('raw_text')} <> '' QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY page) = 1)", 'doc_id, page', 'raw_text')}) c ON c.doc_id = f.doc_id))
+"""
+CTES["ingest_text"] = f"""
+SELECT doc_id, page, cleaned AS content FROM ({S.clean(
+    "(SELECT p.doc_id, p.page, raw_text, x.page IS NOT NULL AS has_table FROM {chosen_pages} p LEFT JOIN (SELECT DISTINCT doc_id, page FROM {ingest_tables}) x ON x.doc_id = p.doc_id AND x.page = p.page)",
+    _PAGE_KEYS, 'raw_text', 'has_table')}) WHERE length(cleaned) >= 30
+"""
+_FAN_IN = f"""
+SELECT t.doc_id, page, 0 AS kind, 'text' AS chunk_type, 'text' AS content_type, ocr_engine, content, [0] AS pos, 'page' AS branch FROM {{ingest_text}} t JOIN {{chosen_pages}} USING (doc_id, page)
+UNION ALL SELECT doc_id, page, 1, 'table', content_type, ocr_engine, content, [table_no, batch, part], 'page' FROM {{ingest_tables}}
+UNION ALL SELECT doc_id, NULL, 1, NULL, 'excel_table', NULL, content, [ascii(sheet), batch], 'grid' FROM ({REGISTRY['sheet_chunks'].sql})"""
+_NAMED = "regexp_replace(translate(filename, '_-', '  '), '\\.xlsx$', '')"
+_INGESTED = f"""
+SELECT c.*, 'chunk_' || CAST(chunk_order AS VARCHAR) AS chunk_id, f.filename AS source, f.version, f.access_scope, f.target_id, CASE WHEN branch = 'grid' THEN 1 ELSE coalesce(total, 1) END AS doc_total_pages,
+  CASE WHEN branch = 'grid' THEN 'Danh_sách' ELSE m.doc_type END AS doc_type, CASE WHEN branch = 'grid' THEN {_NAMED} ELSE {S.normalize_whitespace('m.title')} END AS title,
+  CASE WHEN branch = 'page' THEN m.doc_number END AS doc_number, CASE WHEN branch = 'page' THEN m.date END AS date,
+  CASE WHEN branch = 'grid' THEN 'Không xác định' ELSE {S.normalize_whitespace('m.issuer')} END AS issuer
+FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY coalesce(page, 0), kind, pos, content) AS chunk_order FROM (
+    SELECT i.* FROM ({_FAN_IN}) i JOIN {{files}} f ON f.doc_id = i.doc_id AND (f.filename LIKE '%.xlsx') = (branch = 'grid')
+    QUALIFY row_number() OVER (PARTITION BY i.doc_id, page, content_type, {S.fold('content')} ORDER BY kind, pos, content) = 1)) c
+  JOIN {{files}} f ON f.doc_id = c.doc_id JOIN {{ingest_meta}} m ON m.doc_id = c.doc_id LEFT JOIN {{file_profile}} p ON p.doc_id = c.doc_id"""
+
+
+def extracts(t):
+    """What decoders would give of the files of all kinds."""
+    return I.Extracts(t.file_pages, t.file_boxes, t.file_tables, t.scan_tables, t.grids)
+
+
+@query("ingest_all", "doc_id bigint, chunk_order bigint, chunk_id string, page bigint, chunk_type string, content_type string, ocr_engine string, source string, version bigint, access_scope string, "
+       "doc_total_pages bigint, doc_type string, title string, doc_number string, date string, issuer string, content string, chunk_uid string",
+       f"SELECT *, {_uuid5(_SEED)} AS chunk_uid FROM ({_INGESTED})")
+def _(t):
+    # Pages count as one piece each, so that the rows do not depend on the recursive splitter.
+    return I.ingest_all(t.files, extracts(t), size=1 << 30)
+
+
 # --- versions ---------------------------------------------------------------
 _LOG = """SELECT id, filename, is_processed, row_number() OVER w AS version, lag(id) OVER w AS parent_id, lead(id) OVER w IS NULL AS is_active
 FROM {uploads} WINDOW w AS (PARTITION BY filename ORDER BY id)"""

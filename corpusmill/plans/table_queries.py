@@ -54,15 +54,18 @@ def _first(*parts: str) -> str:
     return "coalesce(" + ", ".join(f"nullif({p}, '')" for p in parts) + ", 'Không xác định')"
 
 
-_meta_sql = f"""
-SELECT o_orderkey, title AS given_title, doc_number AS given_number, date AS given_date, issuer AS given_issuer, yy,
-  CASE WHEN lower(x) LIKE '%thông báo%' THEN 'Thông_báo' WHEN lower(x) LIKE '%quyết định%' THEN 'Quyết_định'
+# Metadata fields of a normalised text x.
+META_FIELDS = f"""CASE WHEN lower(x) LIKE '%thông báo%' THEN 'Thông_báo' WHEN lower(x) LIKE '%quyết định%' THEN 'Quyết_định'
     WHEN lower(x) LIKE '%công văn%' THEN 'Công_văn' WHEN lower(x) LIKE '%kế hoạch%' THEN 'Kế_hoạch'
     WHEN lower(x) LIKE '%báo cáo%' THEN 'Báo_cáo' WHEN lower(x) LIKE '%danh sách%' THEN 'Danh_sách' ELSE 'Khác' END AS doc_type,
   {_first(r"regexp_extract(x, '(?i)(THÔNG\s+BÁO[^\n]{0,200})', 1)", r"regexp_extract(x, '(?i)(QUYẾT\s+ĐỊNH[^\n]{0,200})', 1)", r"regexp_extract(x, '(?i)(CÔNG\s+VĂN[^\n]{0,200})', 1)")} AS title,
   {_first(r"trim(regexp_extract(x, 'Số\s*[:.]?\s*([0-9A-Za-z/\-\.]+)', 1), '.,;:')", r"trim(regexp_extract(x, 'số\s*[:.]?\s*([0-9A-Za-z/\-\.]+)', 1), '.,;:')")} AS doc_number,
   {_date_sql('x')} AS date,
-  {_first(r"regexp_extract(x, '(?i)(Trường\s+Đại\s+học\s+[^\n]{3,120})', 1)", r"regexp_extract(x, '(?i)(Bộ\s+[^\n]{3,120})', 1)")} AS issuer
+  {_first(r"regexp_extract(x, '(?i)(Trường\s+Đại\s+học\s+[^\n]{3,120})', 1)", r"regexp_extract(x, '(?i)(Bộ\s+[^\n]{3,120})', 1)")} AS issuer"""
+
+_meta_sql = f"""
+SELECT o_orderkey, title AS given_title, doc_number AS given_number, date AS given_date, issuer AS given_issuer, yy,
+  {META_FIELDS}
 FROM (SELECT *, {_txt} AS x FROM ({_FIRST}))"""
 
 
@@ -287,20 +290,39 @@ def _(t):
         F.array_join("student_ids_in_chunk", ",").alias("ids"))
 
 
-@query("html_tables_to_markdown", "doc_id bigint, page bigint, table_no bigint, md string", r"""
+_SCAN_MD = r"""
 SELECT doc_id, page, table_no,
   (SELECT string_agg(line, chr(10) ORDER BY i) FROM (SELECT i, '| ' || array_to_string(cells, ' | ') || ' |' || CASE WHEN i = 1 THEN chr(10) || '|---|---|---|' ELSE '' END AS line
     FROM (SELECT i, [trim(regexp_replace(replace(replace(replace(c, '&amp;', '&'), '<b>', ''), '</b>', ''), 'Tong cong', 'Tổng cộng', 'g')) FOR c IN regexp_extract_all(r, '<td>(.*?)</td>', 1)] AS cells
       FROM (SELECT unnest(rows) AS r, unnest(range(1, len(rows) + 1)) AS i)) WHERE array_to_string(cells, '') <> '')) AS md
-FROM (SELECT doc_id, page, table_no, regexp_extract_all(html, '<tr>(.*?)</tr>', 1) AS rows FROM {scan_tables})""")
+FROM (SELECT doc_id, page, table_no, regexp_extract_all(html, '<tr>(.*?)</tr>', 1) AS rows FROM {scan_tables})"""
+
+
+@query("html_tables_to_markdown", "doc_id bigint, page bigint, table_no bigint, md string", _SCAN_MD)
 def _(t):
     return t.scan_tables.select(*P.TABLE, P.html_table_markdown(col("html")).alias("md"))
 
 
-@query("scan_table_chunks", "doc_id bigint, page bigint, table_no bigint, part bigint, content_type string, n_rows bigint, ids string, size bigint")
+# Each scanned table has three data lines after the two of its head; a line opens a part if
+# the open one would pass 1200 characters with it.
+_SCAN_LINES = f"SELECT doc_id, page, table_no, l, l[1] || chr(10) || l[2] AS head FROM (SELECT *, string_split(md, chr(10)) AS l FROM ({_SCAN_MD}))"
+_SCAN_OPENS = f"""SELECT *, length(head) + length(l[3]) + length(l[4]) + 2 > 1200 AS b4,
+  CASE WHEN length(head) + length(l[3]) + length(l[4]) + 2 > 1200 THEN length(head) + length(l[4]) + length(l[5]) + 2
+    ELSE length(head) + length(l[3]) + length(l[4]) + length(l[5]) + 3 END > 1200 AS b5 FROM ({_SCAN_LINES})"""
+SCAN_CHUNKS = f"""
+SELECT doc_id, page, table_no, part, any_value(head) || chr(10) || string_agg(line, chr(10) ORDER BY i) AS content,
+  CASE WHEN any_value({_student_sql('[l[1]]')}) THEN 'student_list' ELSE 'table_md_scan' END AS content_type, count(*) AS n_rows,
+  CASE WHEN any_value({_student_sql('[l[1]]')}) THEN coalesce(string_agg([d FOR d IN [regexp_replace(c, '[^0-9]', '', 'g') FOR c IN string_split(line, '|')] IF length(d) = 10][1], ',' ORDER BY i), '') END AS ids
+FROM (SELECT *, l[i] AS line, CASE WHEN i >= 4 AND b4 THEN 1 ELSE 0 END + CASE WHEN i >= 5 AND b5 THEN 1 ELSE 0 END AS part
+  FROM ({_SCAN_OPENS}), unnest([3, 4, 5]) AS r(i))
+GROUP BY doc_id, page, table_no, part"""
+
+
+@query("scan_table_chunks", "doc_id bigint, page bigint, table_no bigint, part bigint, content string, content_type string, n_rows bigint, ids string, size bigint",
+       f"SELECT *, length(content) AS size FROM ({SCAN_CHUNKS})")
 def _(t):
     return P.scan_table_chunks(t.scan_tables).select(
-        *P.TABLE, "part", "content_type", col("table_row_count").alias("n_rows"),
+        *P.TABLE, "part", "content", "content_type", col("table_row_count").alias("n_rows"),
         F.array_join("student_ids_in_chunk", ",").alias("ids"), F.length("content").alias("size"))
 
 

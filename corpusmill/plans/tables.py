@@ -216,6 +216,24 @@ SELECT doc_id, page, pos, line AS content, CASE WHEN pos % 3 = 2 THEN 'table_md'
 FROM (SELECT doc_id, page, unnest(l) AS line, unnest(range(0, len(l))) AS pos
       FROM (SELECT doc_id, page, string_split(raw_text, chr(10)) AS l FROM {page_texts}))
 """
+# Files of all kinds: every fourth is a spreadsheet. Some have native pages only, some
+# recognised boxes only, some both; some first pages begin like a decision.
+CTES["files"] = """
+SELECT id AS doc_id, CASE WHEN id % 4 = 0 THEN 'Danh_sach-' || CAST(id AS STRING) || '.xlsx' ELSE 'van_ban_' || CAST(id AS STRING) || '.PDF' END AS filename,
+  CAST(1 + id % 3 AS BIGINT) AS version, CASE WHEN id % 5 = 0 THEN 'private' ELSE 'public' END AS access_scope, 'user' || CAST(id % 7 AS STRING) AS target_id
+FROM (SELECT doc_id AS id FROM {documents} UNION SELECT c_custkey FROM {customer} UNION SELECT s_suppkey FROM {supplier}) f
+"""
+CTES["file_pages"] = """
+SELECT doc_id, page, CASE WHEN page = 1 AND doc_id % 5 = 0 THEN 'Trường Đại học  Mẫu' || chr(10) || 'Số : ' || CAST(doc_id AS STRING) || '/QĐ. ngày 5 tháng 9 năm 2025' || chr(10)
+  || 'QUYẾT ĐỊNH về lớp ' || CAST(doc_id AS STRING) || chr(10) || raw_text ELSE raw_text END AS raw_text
+FROM {page_texts} WHERE doc_id % 3 <> 1
+"""
+CTES["file_boxes"] = """
+SELECT doc_id, page, x, y, text FROM {ocr_boxes} WHERE doc_id % 3 <> 0
+"""
+CTES["file_tables"] = """
+SELECT * FROM {table_rows} WHERE doc_id % 2 = 0
+"""
 # Upload, delete and restore events of the documents of one source.
 CTES["upload_events"] = """
 SELECT source AS filename, doc_id * 10 AS seq, 'upload' AS kind, doc_id FROM {documents}
