@@ -133,6 +133,19 @@ def semantic_search(
     return _limit_per_query(hits, limit, [F.desc("score"), F.col("chunk_uid")])
 
 
+def semantic_pairs(pairs: DataFrame, queries: DataFrame, chunks: DataFrame, limit: int = vocab.SEARCH_LIMIT) -> DataFrame:
+    """Cosine top k of each query among its own chunks, given as ``(query_id, chunk_uid)``."""
+    stored = chunks.select("chunk_uid", F.col("embedding").cast("array<double>").alias("_v")).where(~is_invalid_vector(F.col("embedding")))
+    asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("_q")).where(~is_invalid_vector(F.col("vector")))
+
+    def dot(a: Column, b: Column) -> Column:
+        return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+    v, q = F.col("_v"), F.col("_q")
+    scored = pairs.join(asked, "query_id").join(stored, "chunk_uid").withColumn("score", dot(v, q) / F.sqrt(dot(v, v) * dot(q, q)))
+    return _limit_per_query(scored.select("query_id", "chunk_uid", "score"), limit, [F.desc("score"), F.col("chunk_uid")])
+
+
 def _search_small(vectors: DataFrame, queries: DataFrame, limit: int, schema: str, bound: int) -> DataFrame:
     # The size was checked; one row more than counted shows a source that grew since.
     rows = queries.limit(bound + 1).collect()
@@ -173,7 +186,7 @@ def _search_grid(vectors: DataFrame, queries: DataFrame, limit: int, schema: str
 
 
 # --- keyword search ---------------------------------------------------------
-def _needles(queries: DataFrame) -> DataFrame:
+def needles(queries: DataFrame) -> DataFrame:
     """One row per query, keyword and searched field, with the words to find."""
     keywords = queries.select("query_id", F.posexplode("keywords").alias("kw_idx", "keyword")).where(
         F.coalesce(F.col("keyword"), F.lit("")) != ""
@@ -192,13 +205,17 @@ def _needles(queries: DataFrame) -> DataFrame:
     return rows.where(F.size("words") > 0).withColumn("needle", F.array_join("words", " "))
 
 
-def token_index(chunks: DataFrame, fields: list[str] | None = None) -> DataFrame:
-    """Distinct words of each chunk and field; may be stored and reused."""
+def token_index(chunks: DataFrame, fields: list[str] | None = None, extra: list[str] | None = None) -> DataFrame:
+    """Distinct words of each chunk and field, with ``extra`` columns of the chunk; may be
+    stored and reused.
+    """
     columns = [
         F.struct(F.lit(f).alias("field"), word_tokens(F.col(f), *TOKEN_BOUNDS[f]).alias("tokens"))
         for f in (fields or FIELDS) if f in chunks.columns
     ]
-    return chunks.select("chunk_uid", F.explode(F.array(*columns)).alias("e")).select("chunk_uid", "e.field", "e.tokens")
+    extra = extra or []
+    rows = chunks.select("chunk_uid", *extra, F.explode(F.array(*columns)).alias("e"))
+    return rows.select("chunk_uid", *extra, "e.field", "e.tokens")
 
 
 def _fits(df: DataFrame, text: str, max_bytes: int) -> bool:
@@ -239,10 +256,10 @@ def keyword_search(
     ``limit`` matches per needle before the shuffle, so that a needle found in
     a third of all chunks still moves few rows.
     """
-    wanted = _needles(queries)
+    wanted = needles(queries)
     longest = F.array_max(F.transform("words", lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))).w
-    needles = wanted.select("field", "needle", "words").distinct().withColumn("anchor", longest)
-    found = _matches(token_index(chunks) if index is None else index, needles, broadcast_bytes)
+    distinct = wanted.select("field", "needle", "words").distinct().withColumn("anchor", longest)
+    found = _matches(token_index(chunks) if index is None else index, distinct, broadcast_bytes)
     by_uid = Window.partitionBy("field", "needle").orderBy("chunk_uid")
     first = found.withColumn("_n", F.row_number().over(by_uid)).where(F.col("_n") <= limit).drop("_n")
     place = F.struct("kw_idx", "field_idx", "chunk_uid")

@@ -14,6 +14,7 @@ def all_queries():
         source_queries,
         table_queries,
         text_queries,
+        turn_queries,
     )
     from corpusmill.plans.registry import REGISTRY
 

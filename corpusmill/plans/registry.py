@@ -39,7 +39,7 @@ class Query:
         ordered = [n for n in CTES if n in wanted]
         parts = [f"{n} AS (\n{CTES[n]}\n)" for n in ordered] + [f"_result AS (\n{self.sql}\n)"]
         casts = ", ".join(f"CAST({c} AS {_DUCK[t]}) AS {c}" for c, t in self.columns.items())
-        text = ("WITH RECURSIVE " if "anchors" in wanted else "WITH ") + ",\n".join(parts) + f"\nSELECT {casts} FROM _result"
+        text = ("WITH RECURSIVE " if {"anchors", "turn_states"} & set(wanted) else "WITH ") + ",\n".join(parts) + f"\nSELECT {casts} FROM _result"
         for name in CTES:
             text = text.replace("{" + name + "}", name)
         for name in Tables.BASE:

@@ -67,21 +67,23 @@ def _w(x: str, high: int = 32) -> str:
     return _WORDS.format(x=x, high=high)
 
 
-def keyword_sql(words: str, chunks: str, limit: int = 20) -> str:
-    """query_id, chunk_uid, rank of the keyword search over ``chunks``."""
+def keyword_sql(words: str, chunks: str, limit: int = 20, of_words: str = "", of_chunks: str = "", on: str = "") -> str:
+    """query_id, chunk_uid, rank of the keyword search over ``chunks``; ``on`` adds a condition
+    on columns that words (n) and chunks (d) carry.
+    """
     return f"""
 SELECT query_id, chunk_uid, rank FROM (
   SELECT query_id, chunk_uid, row_number() OVER (PARTITION BY query_id ORDER BY kw_idx, field_idx, chunk_uid) AS rank FROM (
     SELECT query_id, chunk_uid, kw_idx, field_idx, row_number() OVER (PARTITION BY query_id, chunk_uid ORDER BY kw_idx, field_idx) AS seen FROM (
       SELECT query_id, kw_idx, field_idx, chunk_uid, row_number() OVER (PARTITION BY query_id, kw_idx, field_idx ORDER BY chunk_uid) AS n FROM (
         SELECT query_id, kw_idx, n.field_idx, chunk_uid FROM (
-          SELECT query_id, kw_idx, field_idx, len(list_distinct(ws)) AS need, unnest(list_distinct(ws)) AS tok FROM (
-            SELECT query_id, kw_idx, 0 AS field_idx, {_w('w')} AS ws FROM {words}
-            UNION ALL SELECT query_id, kw_idx, 1, {_w('w', 40)} FROM {words}
-            UNION ALL SELECT query_id, kw_idx, 2, {_w('f')} FROM (SELECT *, {S.fold('w')} AS f FROM {words}) WHERE f <> '' AND f <> lower(trim(w)))) n
-        JOIN (SELECT chunk_uid, 0 AS field_idx, unnest(list_distinct({_w('content')})) AS tok FROM {chunks}
-          UNION ALL SELECT chunk_uid, 1, unnest(list_distinct({_w('title', 40)})) FROM {chunks}
-          UNION ALL SELECT chunk_uid, 2, unnest(list_distinct({_w('content_folded')})) FROM {chunks}) d ON d.field_idx = n.field_idx AND d.tok = n.tok
+          SELECT query_id, kw_idx, field_idx, len(list_distinct(ws)) AS need, unnest(list_distinct(ws)) AS tok{of_words} FROM (
+            SELECT query_id, kw_idx, 0 AS field_idx, {_w('w')} AS ws{of_words} FROM {words}
+            UNION ALL SELECT query_id, kw_idx, 1, {_w('w', 40)}{of_words} FROM {words}
+            UNION ALL SELECT query_id, kw_idx, 2, {_w('f')}{of_words} FROM (SELECT *, {S.fold('w')} AS f FROM {words}) WHERE f <> '' AND f <> lower(trim(w)))) n
+        JOIN (SELECT chunk_uid, 0 AS field_idx, unnest(list_distinct({_w('content')})) AS tok{of_chunks} FROM {chunks}
+          UNION ALL SELECT chunk_uid, 1, unnest(list_distinct({_w('title', 40)})){of_chunks} FROM {chunks}
+          UNION ALL SELECT chunk_uid, 2, unnest(list_distinct({_w('content_folded')})){of_chunks} FROM {chunks}) d ON d.field_idx = n.field_idx AND d.tok = n.tok {on}
         GROUP BY query_id, kw_idx, n.field_idx, chunk_uid HAVING count(*) = any_value(need)))
     WHERE n <= {limit}) WHERE seen = 1) WHERE rank <= {2 * limit}"""
 

@@ -234,6 +234,31 @@ SELECT doc_id, page, x, y, text FROM {ocr_boxes} WHERE doc_id % 3 <> 0
 CTES["file_tables"] = """
 SELECT * FROM {table_rows} WHERE doc_id % 2 = 0
 """
+# Sessions of eight turns. Some ask for a student by a name that one or many have, some by id,
+# and some by neither, as a follow-up.
+CTES["turn_questions"] = """
+SELECT c_custkey AS query_id, 's' || CAST(floor(c_custkey / 8) AS STRING) AS session_id, c_custkey AS turn,
+  CASE
+    WHEN c_nationkey % 6 = 0 THEN 'Điểm rèn luyện của sinh viên ' || CASE WHEN c_custkey % 3 = 1 THEN 'Trần Thị Nam' ELSE 'Đặng Th' || translate(CAST(c_custkey - c_custkey % 3 AS STRING), '0123456789', 'aeioubcdgh') END
+    WHEN c_nationkey % 6 = 1 THEN 'xếp loại của msv 22' || lpad(CAST(c_custkey AS STRING), 8, '0') || ' hk' || sem
+    WHEN c_nationkey % 6 = 2 THEN 'còn điểm kỳ ' || sem || ' thì sao?'
+    WHEN c_mktsegment = 'AUTOMOBILE' THEN 'Thông báo thu học phí kỳ ' || sem || ' năm học ' || yy || '-' || yy2 || ' là bao nhiêu?'
+    WHEN c_mktsegment = 'FURNITURE' THEN 'nội dung quyết định miễn giảm học phí năm ' || yy
+    WHEN c_mktsegment = 'HOUSEHOLD' THEN 'lịch nghỉ tết nguyên đán ' || yy || ' khi nào?'
+    WHEN c_mktsegment = 'MACHINERY' THEN 'quy định nộp học phí ' || yy || '-' || yy2 || ' hoặc ' || yy
+    ELSE 'zzz qqq ' || CAST(c_custkey AS STRING) END AS query
+FROM (
+  SELECT c_custkey, c_nationkey, c_mktsegment, CAST(1 + c_nationkey % 3 AS STRING) AS sem,
+    CAST(2019 + c_nationkey % 8 AS STRING) AS yy, CAST(2020 + c_nationkey % 8 AS STRING) AS yy2
+  FROM {customer}) c
+"""
+# The notices; the lists of every third document name a student that only that document has.
+CTES["turn_chunks"] = """
+SELECT chunk_uid, doc_id, chunk_id, o_orderkey, title, doc_number, date, issuer, source, content_type, chunk_type, is_active, access_scope, target_id,
+  CASE WHEN kind = 5 THEN msv || ',' || msv2 END AS listed,
+  CASE WHEN doc_id % 3 = 0 THEN replace(content, person, 'Đặng Th' || translate(CAST(doc_id AS STRING), '0123456789', 'aeioubcdgh')) ELSE content END AS content
+FROM {notices}
+"""
 # Upload, delete and restore events of the documents of one source.
 CTES["upload_events"] = """
 SELECT source AS filename, doc_id * 10 AS seq, 'upload' AS kind, doc_id FROM {documents}
