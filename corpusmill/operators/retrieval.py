@@ -260,6 +260,13 @@ def keyword_search(
     longest = F.array_max(F.transform("words", lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))).w
     distinct = wanted.select("field", "needle", "words").distinct().withColumn("anchor", longest)
     found = _matches(token_index(chunks) if index is None else index, distinct, broadcast_bytes)
+    return merge_matches(wanted, found, limit)
+
+
+def merge_matches(wanted: DataFrame, found: DataFrame, limit: int = vocab.SEARCH_LIMIT) -> DataFrame:
+    """Hits of each query from the matches ``(field, needle, chunk_uid)`` of its needles: the
+    first ``limit`` of a needle, then the first places.
+    """
     by_uid = Window.partitionBy("field", "needle").orderBy("chunk_uid")
     first = found.withColumn("_n", F.row_number().over(by_uid)).where(F.col("_n") <= limit).drop("_n")
     place = F.struct("kw_idx", "field_idx", "chunk_uid")

@@ -11,6 +11,8 @@ from corpusmill.operators import understanding as Q
 from corpusmill.plans import sqltext as S
 from corpusmill.plans.registry import query
 from corpusmill.plans.tables import CTES
+from corpusmill.session import shared_folder
+from corpusmill.sources import index_store as IX
 
 col = F.col
 YEAR_NOW = 2025
@@ -120,6 +122,34 @@ def _(t):
     return R.keyword_search(corpus(t), asked(t), broadcast_bytes=0)
 
 
+def stored_corpus(t):
+    """The corpus in a fresh store, as three batches: a third of the chunks first has another
+    text, and every seventh is taken out again. Returns the folder.
+    """
+    path, chunks = shared_folder(t.spark, "index"), corpus(t)
+    third = col("doc_id") % 3 == 0
+    old = chunks.where(third).withColumns({"content": F.reverse("content"), "content_folded": T.fold(F.reverse("content"))})
+    IX.write_batch(old.unionByName(chunks.where(~third)), path, 0)
+    IX.write_batch(chunks.where(third), path, 1)
+    IX.write_batch(chunks.limit(0), path, 2, chunks.where(col("doc_id") % 7 == 0))
+    return path
+
+
+_STORED = keyword_sql("{asked_words}", "(SELECT * FROM {corpus} WHERE doc_id % 7 <> 0)")
+
+
+@query("search_keyword_stored", "query_id bigint, chunk_uid string, rank bigint", _STORED)
+def _(t):
+    return IX.keyword_search_stored(t.spark, stored_corpus(t), asked(t))
+
+
+@query("fetch_payload", "query_id bigint, chunk_uid string, rank bigint, title string, content string",
+       f"SELECT query_id, s.chunk_uid, rank, title, content FROM ({_STORED}) s JOIN {{corpus}} c ON c.chunk_uid = s.chunk_uid")
+def _(t):
+    path = stored_corpus(t)
+    return IX.fetch_payload(t.spark, path, IX.keyword_search_stored(t.spark, path, asked(t)), ["title", "content"])
+
+
 # Queries of the hybrid search: a label's vector with the words of its benchmark text.
 CTES["hybrid_words"] = "SELECT a.* FROM {asked_words} a JOIN {centroids} c ON c.query_id = a.query_id"
 _HYBRID = f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, src, src_rank, chunk_uid) AS rank FROM (
