@@ -65,13 +65,19 @@ def _(t):
     return rows.select("event_id", F.size("items").alias("n"), F.get_json_object(F.get("items", F.lit(0)), "$.text").alias("first"))
 
 
-@query("csv_grid_rows", "source string, row_idx bigint, cells string", """
-SELECT 'all' AS source, row_number() OVER (ORDER BY p_partkey) - 1 AS row_idx, CAST(p_partkey AS VARCHAR) || '|' || p_name || '|' || p_brand AS cells FROM part""")
+# A third of the parts with a quote inside a cell, a third with a quoted cell of two lines.
+_CSV = """SELECT p_partkey % 8 AS g, p_partkey, CASE p_partkey % 3 WHEN 0 THEN '7" ' || p_name WHEN 1 THEN p_name || ',' || chr(10) || '"x"' ELSE p_name END AS name, p_brand FROM {part}"""
+
+
+@query("csv_grid_rows", "source string, row_idx bigint, cells string", f"""
+SELECT 'g' || CAST(g AS VARCHAR) AS source, row_number() OVER (PARTITION BY g ORDER BY p_partkey) - 1 AS row_idx, CAST(p_partkey AS VARCHAR) || '|' || name || '|' || p_brand AS cells FROM ({_CSV})""")
 def _(t):
     path = shared_folder(t.spark, "csv")
-    rows = t.part.select("p_partkey", "p_name", "p_brand").coalesce(1).sortWithinPartitions("p_partkey")
-    rows.write.csv(path)
-    return L.csv_grids(t.spark, path).select(F.lit("all").alias("source"), "row_idx", F.array_join("cells", "|").alias("cells"))
+    quoted = F.when(col("name").contains("\n"), F.concat(F.lit('"'), F.replace("name", F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(col("name"))
+    rows = t.sql(_CSV).withColumn("value", F.concat_ws(",", col("p_partkey").cast("string"), quoted, "p_brand"))
+    rows.repartition("g").sortWithinPartitions("g", "p_partkey").select("g", "value").write.partitionBy("g").text(path)
+    group = F.concat(F.lit("g"), F.get("cells", F.lit(0)).cast("long") % 8)
+    return L.csv_grids(t.spark, path).select(group.alias("source"), "row_idx", F.array_join("cells", "|").alias("cells"))
 
 
 # --- sinks ------------------------------------------------------------------

@@ -50,24 +50,84 @@ def sheet_metadata(name: Column, issuer: Column | None = None) -> Column:
     )
 
 
+# One cell that is closed, and what a line ends in if a quote stays open.
+_CLOSED = r'(?:"[^"]*+(?:""[^"]*+)*+"[^,]*+|(?!")[^,]*+)'
+_OPENS = rf'\A(?:{_CLOSED},)*+"[^"]*+(?:""[^"]*+)*+\z'
+_REST = r'[^"]*+(?:""[^"]*+)*+'
+
+
 def _running(rows: DataFrame, value: Column, name: str) -> DataFrame:
     """Sum of ``value`` over the earlier lines of a file: inside a split by a window, the
     splits before it by one summary row each.
     """
     rows = rows.withColumn("_v", value)
-    earlier = Window.partitionBy("source").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
-    sums = rows.groupBy("source", "_split").agg(F.sum("_v").alias("_s")).select(
-        "source", "_split", F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("source", "_split").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("_path").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("_path", "_split").agg(F.sum("_v").alias("_s")).select(
+        "_path", "_split", F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_path", "_split").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
     summed = rows.withColumn(name, F.coalesce(F.sum("_v").over(inside), F.lit(0)))
-    return summed.join(sums, ["source", "_split"]).withColumn(name, F.col(name) + F.col("_before")).drop("_v", "_before")
+    return summed.join(sums, ["_path", "_split"]).withColumn(name, F.col(name) + F.col("_before")).drop("_v", "_before")
+
+
+def _composed(rows: DataFrame, keys: list[str], place: str) -> DataFrame:
+    """(``_set``, ``_flips``) of the rows before each: what the last row that sets the state
+    whatever it was sets it to, flips after it included, and all flips if none does.
+    """
+    before = Window.partitionBy(*keys).orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy(*keys).orderBy(place).rowsBetween(Window.unboundedPreceding, 0)
+    counted = rows.withColumn("_upto", F.sum(F.col("flips").cast("int")).over(upto))
+    last = F.max(F.when(F.col("sets").isNotNull(), F.struct(place, "sets", "_upto"))).over(before)
+    flips = F.coalesce(F.sum(F.col("flips").cast("int")).over(before), F.lit(0))
+    odd = lambda n: n % 2 == 1
+    placed = counted.withColumns({"_last": last, "_all": flips})
+    return placed.withColumns({
+        "_set": F.when(F.col("_last").isNotNull(), F.col("_last.sets") != odd(F.col("_all") - F.col("_last._upto"))),
+        "_flips": odd(F.col("_all"))}).drop("_last", "_all", "_upto")
+
+
+def quote_states(lines: DataFrame) -> DataFrame:
+    """Lines ``(_path, _split, _place, line)`` with ``inside``: whether a quoted cell is open
+    where the line begins.
+
+    A quote opens a cell only at its start. So a line maps the state before it (in a cell, or
+    not) to the one behind it, by two patterns: it keeps, flips or sets it. Such maps compose,
+    in a split by a window and over splits by one summary row each. A quote that no later
+    line of the file closes opens nothing.
+    """
+    line = F.col("line")
+    from_out = line.rlike(_OPENS)
+    from_in = line.rlike(rf'\A{_REST}\z') | F.regexp_replace(line, rf'\A{_REST}"[^,]*+(,|\z)', "$1").rlike(r'\A,') & F.regexp_replace(
+        line, rf'\A{_REST}"[^,]*+,', "").rlike(_OPENS)
+    rows = lines.withColumns({"_out": from_out, "_in": from_in}).withColumns({
+        "sets": F.when(F.col("_out") == F.col("_in"), F.col("_out")), "flips": F.col("_out") & ~F.col("_in")})
+    local = _composed(rows, ["_path", "_split"], "_place")
+    ends = local.groupBy("_path", "_split").agg(F.max_by(F.struct("_set", "_flips", "sets", "flips"), "_place").alias("e"))
+    whole = ends.select(
+        "_path", "_split",
+        F.when(F.col("e.sets").isNotNull(), F.col("e.sets")).otherwise(F.col("e._set") != F.col("e.flips")).alias("sets"),
+        (F.col("e._flips") != F.col("e.flips")).alias("flips"))
+    # a split that sets the state has its flips in what it sets
+    whole = whole.withColumn("flips", F.when(F.col("sets").isNull(), F.col("flips")).otherwise(F.lit(False)))
+    starts = _composed(whole, ["_path"], "_split").select(
+        "_path", "_split", F.coalesce(F.col("_set"), F.col("_flips")).alias("_begins"))
+    state = F.coalesce(F.col("_set"), F.col("_begins") != F.col("_flips"))
+    known = local.join(starts, ["_path", "_split"]).withColumn("inside", state)
+    opening = F.when(~F.col("inside") & F.col("_out"), F.struct("_split", "_place"))
+    closing = F.when(F.col("inside") & ~F.col("_in") | ~F.col("inside") & ~F.col("_out"), F.struct("_split", "_place"))
+    last = known.groupBy("_path").agg(F.max(opening).alias("_opened"), F.max(closing).alias("_closed"), F.max(F.struct("_split", "_place")).alias("_end"))
+    # the last line that opens a cell, if no line behind it ends outside
+    stray = F.when(F.col("_closed").isNull() | (F.col("_closed") < F.col("_opened")), F.col("_opened"))
+    loose = last.select("_path", stray.alias("_stray"))
+    fixed = F.when(F.col("_stray").isNotNull() & (F.struct("_split", "_place") > F.col("_stray")), F.lit(False)).otherwise(F.col("inside"))
+    return known.join(loose, "_path").withColumn("inside", fixed).select("_path", "_split", "_place", "line", "inside")
 
 
 def csv_cells(record: Column) -> Column:
-    """All cells of one CSV record; quotes are taken off, empty cells are null."""
+    """All cells of one CSV record; quotes around a cell are taken off, empty cells are null."""
     cells = F.regexp_extract_all(F.concat(F.lit(","), record), F.lit(r',("[^"]*+(?:""[^"]*+)*+"[^,]*|[^,]*)'), F.lit(1))
-    bare = F.transform(cells, lambda c: F.when(
-        c.startswith('"'), F.replace(F.regexp_replace(c, r'^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(c))
+    quoted = r'(?s)\A"([^"]*+(?:""[^"]*+)*+)"(.*)\z'
+    bare = F.transform(cells, lambda c: F.when(c.rlike(quoted), F.concat(
+        F.replace(F.regexp_extract(c, quoted, 1), F.lit('""'), F.lit('"')), F.regexp_extract(c, quoted, 2))).otherwise(c))
     return F.transform(bare, lambda c: F.nullif(c, F.lit("")))
 
 
@@ -75,25 +135,25 @@ def csv_grids(spark: SparkSession, path: str) -> DataFrame:
     """Cell grids ``(source, sheet, row_idx, cells)`` of headerless CSV files.
 
     Lines are read in parallel and stay so in large files: a record starts at each
-    line with an even number of quotes before it, so a quoted line break joins its
+    line where no quoted cell is open, so a quoted line break joins its
     lines. Rows keep all their cells, of whatever number; blank lines are no rows.
+    Files of one name in different folders are files of their own.
     """
-    lines = spark.read.text(path).select(
-        F.substring_index("_metadata.file_path", "/", -1).alias("source"),
+    lines = spark.read.text(path, recursiveFileLookup=True).select(
+        F.col("_metadata.file_path").alias("_path"),
         F.col("_metadata.file_block_start").alias("_split"),
         F.monotonically_increasing_id().alias("_place"),
         F.col("value").alias("line"),
     )
-    quoted = _running(lines, F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit(""))), "_quotes")
-    start = (F.col("_quotes") % 2 == 0).cast("long")
-    placed = _running(quoted, start, "_starts").withColumn("_record", F.col("_starts") + start)
-    records = placed.groupBy("source", "_record").agg(
+    start = (~F.col("inside")).cast("long")
+    placed = _running(quote_states(lines), start, "_starts").withColumn("_record", F.col("_starts") + start)
+    records = placed.groupBy("_path", "_record").agg(
         F.sort_array(F.collect_list(F.struct("_split", "_place", "line"))).alias("_lines"))
     records = records.select(
-        "source", "_record", F.array_join(F.transform("_lines", lambda x: x.line), "\n").alias("_text")).where("_text <> ''")
-    numbered = dense_index(records, ["source"], ["_record"], "n", 4096)
+        "_path", "_record", F.array_join(F.transform("_lines", lambda x: x.line), "\n").alias("_text")).where("_text <> ''")
+    numbered = dense_index(records, ["_path"], ["_record"], "n", 4096)
     return numbered.select(
-        "source", F.lit("csv").alias("sheet"), (F.col("n") - 1).alias("row_idx"), csv_cells(F.col("_text")).alias("cells"))
+        F.substring_index("_path", "/", -1).alias("source"), F.lit("csv").alias("sheet"), (F.col("n") - 1).alias("row_idx"), csv_cells(F.col("_text")).alias("cells"))
 
 
 def text_profile(pages: DataFrame, min_chars: int = vocab.FIRST_PAGE_NATIVE_CHARS) -> DataFrame:

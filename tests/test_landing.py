@@ -1,5 +1,9 @@
 """Landing, salvage, HTML tables and ingest with tables, on small fixtures."""
 
+import random
+import re
+
+import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.operators import chunking as C
@@ -29,6 +33,54 @@ def test_csv_keeps_cells_and_quoted_breaks(spark, tmp_path):
     }
 
 
+def _python_rows(text):
+    """Records of a text by a plain scan: a quote opens at the start of a cell only."""
+    lines, at, out = text.split("\n"), 0, []
+
+    def is_open(record):
+        while record:
+            quoted = re.match(r'"[^"]*+(?:""[^"]*+)*+"[^,]*(,|$)', record, re.S)
+            if record[0] == '"' and not quoted:
+                return True
+            cell = quoted or re.match("[^,]*(,|$)", record, re.S)
+            record = record[cell.end():]
+        return False
+
+    while at < len(lines):
+        end = next((e for e in range(at + 1, len(lines) + 1) if not is_open("\n".join(lines[at:e]))), at + 1)
+        out.append("\n".join(lines[at:end]))
+        at = end
+    return [x for x in out if x]
+
+
+def test_quotes_open_at_the_start_of_a_cell_only(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('1,5" pipe,x\n2,b,y\n3,c,z\n4,7" rod,w\n5,e,v\n')
+    (tmp_path / "b.csv").write_text('1,a\n2,"never closed,b\n3,"" c\n4,d\n')
+    got = [[r.cells for r in L.csv_grids(spark, str(tmp_path / f)).orderBy("row_idx").collect()] for f in ("a.csv", "b.csv")]
+    assert got[0] == [["1", '5" pipe', "x"], ["2", "b", "y"], ["3", "c", "z"], ["4", '7" rod', "w"], ["5", "e", "v"]]
+    assert got[1] == [["1", "a"], ["2", "\"never closed", "b"], ["3", " c"], ["4", "d"]]
+
+
+@pytest.mark.parametrize("split", ["1g", "64"])
+def test_records_do_not_depend_on_splits(spark, tmp_path, split):
+    r = random.Random(9)
+    names = []
+    for k in range(12):
+        text = "\n".join(",".join(r.choice(["a", "", '"b"', '"c', 'd"', 'e"f', '""', '"g""h"', '"""', "i"]) for _ in range(r.randint(1, 4))) for _ in range(40))
+        (tmp_path / f"{k}.csv").write_text(text + "\n")
+        names.append((f"{k}.csv", text))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        got = L.csv_grids(spark, str(tmp_path)).groupBy("source").agg(F.count("*").alias("n")).collect()
+        lines = spark.read.text(str(tmp_path)).select(F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_split"),
+                                                     F.monotonically_increasing_id().alias("_place"), F.col("value").alias("line"))
+        assert split == "1g" or lines.select("_path", "_split").distinct().count() > 24
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert {x.source: x.n for x in got} == {name: len(_python_rows(text)) for name, text in names}
+
+
 def test_salvage_takes_whole_lists_only(spark):
     cases = {
         't {"k":[1], "n": 2': [],
@@ -51,6 +103,19 @@ def test_html_tables_with_open_tags_and_entities(spark):
     assert md == "| A | B |\n|---|---|\n| àéế | R&D <x> &unknown; y |\n| 1 | 2 |"
 
 
+def test_html_is_read_as_a_parser_reads_it(spark):
+    cases = {
+        "<table><tr><td>&abreve; &dstrok; R&amp D &notit; &#x80;</td></tr></table>": "| ă đ R& D ¬it; € |\n|---|",
+        "<table><tr><td>out<table><tr><td>in</td></tr></table></td><td>b</td></tr></table>": "| out in | in | b |\n|---|---|---|\n| in |",
+        "<table><tr><!-- <td>no</td> --><td>a</td></tr></table>": "| a |\n|---|",
+        '<table><tr><td title="a>b" data-x=\'c>d\'>x</td></tr></table>': "| x |\n|---|",
+        "<TABLE><TR><TD>a<TD>b<TR><TD>c": "| a | b |\n|---|---|\n| c |",
+        "<tr><td>no table</td>": "| no table |\n|---|", "plain": "", "": "",
+    }
+    rows = spark.createDataFrame([(h,) for h in cases], "h string").select("h", P.html_table_markdown(F.col("h")).alias("m")).collect()
+    assert {r.h: r.m for r in rows} == cases
+
+
 def test_store_keeps_latest_batch_and_compacts(spark):
     path, target = shared_folder(spark, "store"), shared_folder(spark, "store")
     schema = "chunk_uid string, doc_id bigint, content string"
