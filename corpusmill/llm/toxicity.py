@@ -1,17 +1,20 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Five transducers read the words of a clause side by side: insult and threat mark the
-kind of attack, target notes who is addressed, negation and reported speech weaken what
-follows. Their product is one automaton; the state it ends a clause in is the clause's
-class, and documents are scored by the weighted classes of their matched clauses.
+Five transducers read the words of a clause in order. Insult and threat mark attacks, an
+insult with a learned strength. Target holds a word of address for a few words, before an attack
+or behind it; negation holds for a few words behind it and ends at a comma; reported speech holds
+to the end of the sentence. Their composition is one automaton whose arcs carry weights: an attack
+counts its strength, more if aimed at someone, less if denied or reported. A clause weighs the
+sum of its arcs, and documents are scored by the weights of their matched clauses alone.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +29,14 @@ TARGETS = frozenset("you your yours they them he she him her these those du dich
 NEGATIONS = frozenset("not no never nobody isn't aren't don't nicht kein keine nie ne pas jamais nunca ningún".split())
 REPORTS = frozenset("said says say claimed claims wrote quoted quote reported allegedly sagte sagt schrieb behauptet dit écrit affirme dijo escribió según".split())
 STEM, CACHED_WORDS = 5, 200_000
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, END = "oihtnre"
 EDGE = re.compile(r"^\W+|\W+$")
-CLAUSE_END = re.compile(r"[.!?;:]\W*$")
+TOKEN = re.compile(r"\S+|\n")
+SENTENCE_END, COMMA = re.compile(r"[.!?;]\W*$"), re.compile(r"[,:]\W*$")
+# A word's symbol holds all its readings, and what ends behind it.
+INSULT, THREAT, TARGET, NEGATION, REPORT, PAUSE, END = (1 << k for k in range(7))
+# Words a target or negation holds for, and arc weights.
+REACH = 3
+THREAT_STRENGTH, AIMED, DENIED, REPORTED, LATE = 1.0, 1.5, 0.2, 0.4, 0.5
 
 
 def keys(word: str) -> tuple[str, ...]:
@@ -36,20 +44,39 @@ def keys(word: str) -> tuple[str, ...]:
     return (word,) if len(word) <= STEM else (word, word[:STEM] + "*")
 
 
-# A state holds what the five transducers have seen: (insult, threat, target, negated, reported).
-Step = dict[tuple[bool, ...], dict[str, tuple[bool, ...]]]
+class State(NamedTuple):
+    """Words that each transducer still holds; ``attack`` waits for a target behind it."""
 
+    target: int = 0
+    negation: int = 0
+    report: int = 0
+    attack: int = 0
 
-def _grammar() -> Step:
-    """Product of the five: an attack under negation or report keeps that mark to the clause's end."""
-    states = [tuple(bool(n >> i & 1) for i in range(5)) for n in range(32)]
-    order = (INSULT, THREAT, TARGET, NEGATION, REPORT)
-    return {s: {OTHER: s} | {x: tuple(seen or x == own for seen, own in zip(s, order)) for x in order} for s in states}
 
+START = State()
 
-GRAMMAR = _grammar()
-START = (False,) * 5
-CLASSES = {s: i for i, s in enumerate(s for s in GRAMMAR if s[0] or s[1])}
+
+@lru_cache(None)
+def step(state: State, symbol: int) -> tuple[State, float, bool]:
+    """The composed automaton: next state, weight of an attack here (0 for none), and whether
+    the word aims the attack before it.
+    """
+    target = REACH if symbol & TARGET else max(0, state.target - 1)
+    negation = REACH if symbol & NEGATION else max(0, state.negation - 1)
+    report = 1 if symbol & REPORT else state.report
+    late = bool(symbol & TARGET and state.attack)
+    weight = 0.0
+    if symbol & (INSULT | THREAT):
+        aimed = state.target > 0 or symbol & TARGET
+        weight = (AIMED if aimed else 1.0) * (DENIED if state.negation else 1.0) * (REPORTED if state.report else 1.0)
+        attack = 0 if aimed else REACH
+    else:
+        attack = 0 if late else max(0, state.attack - 1)
+    if symbol & END:
+        return START, weight, late
+    if symbol & PAUSE:
+        return State(0, 0, report, 0), weight, late
+    return State(target, negation, report, attack), weight, late
 
 
 class Lexicon:
@@ -59,66 +86,86 @@ class Lexicon:
         self.insults, self.symbols, self.strength = insults, {}, {}
 
     def _learn(self, raw: str) -> None:
+        if raw == "\n":
+            self.symbols[raw] = END
+            return
         word = EDGE.sub("", raw)
         found = [self.insults[k] for k in keys(word) if k in self.insults]
-        kinds = ((INSULT, found), (THREAT, word in THREATS), (TARGET, word in TARGETS), (NEGATION, word in NEGATIONS), (REPORT, word in REPORTS))
-        self.symbols[raw] = next((s for s, yes in kinds if yes), OTHER) + (END if CLAUSE_END.search(raw) else "")
-        if found:
-            self.strength[raw] = max(found)
-
-    def read(self, words: list[str]) -> str:
+        kinds = ((INSULT, found), (THREAT, word in THREATS), (TARGET, word in TARGETS), (NEGATION, word in NEGATIONS), (REPORT, word in REPORTS),
+                 (END, SENTENCE_END.search(raw)), (PAUSE, COMMA.search(raw)))
+        self.symbols[raw] = sum(symbol for symbol, yes in kinds if yes)
+        if found or word in THREATS:
+            self.strength[raw] = max([*found, THREAT_STRENGTH * (word in THREATS)])
+
+    def clauses(self, text: str) -> tuple[list[float], int]:
+        """(weights of the clauses with an attack, number of words) of a text."""
         if len(self.symbols) > CACHED_WORDS:
             self.symbols.clear()
             self.strength.clear()
-        known = self.symbols
+        words = TOKEN.findall(text.lower())
+        known, strength = self.symbols, self.strength
         for raw in set(words).difference(known):
             self._learn(raw)
-        return "".join([known[w] for w in words])
-
-
-def clause_classes(symbols: str) -> Counter:
-    """Number of clauses of each class with an attack in them."""
-    found, done = Counter(), -1
-    for m in re.finditer(f"[{INSULT}{THREAT}]", symbols):
-        if m.start() <= done:
-            continue
-        low, high = symbols.rfind(END, 0, m.start()) + 1, symbols.find(END, m.start())
-        done = high if high >= 0 else len(symbols)
-        state = START
-        for s in symbols[low:done]:
-            state = GRAMMAR[state][s]
-        found[CLASSES[state]] += 1
-    return found
-
-
-N_FEATURES = len(CLASSES) + 3
+        out, done = [], 0
+        for at, word in enumerate(words):
+            if at < done or word not in strength:
+                continue
+            start = at
+            while start > done and not known[words[start - 1]] & END:
+                start -= 1
+            total, state, last, done = 0.0, START, 0.0, start
+            while done < len(words):
+                raw = words[done]
+                state, weight, late = step(state, known[raw])
+                total += LATE * last if late else 0.0
+                if weight:
+                    last = weight * strength[raw]
+                    total += last
+                done += 1
+                if known[raw] & END:
+                    break
+            out.append(total)
+        return out, len(words)
+
+
+N_FEATURES = 4
 
 
 def features(text: str | None, lexicon: Lexicon) -> np.ndarray:
-    """Per class the log number of clauses; the strengths of the insults, summed and per word."""
-    words = (text or "").lower().split()
-    classes = clause_classes(lexicon.read(words))
-    out = np.zeros(N_FEATURES)
-    out[-1] = 1
-    if classes:
-        for k, n in classes.items():
-            out[k] = math.log1p(n)
-        total = sum(lexicon.strength.get(w, 0.0) for w in words)
-        out[-3], out[-2] = math.log1p(total), min(2.0, 50 * total / len(words))
+    """Of the weights of the matched clauses: the log of their sum, of the largest, their sum
+    per word, and the log of their number as the last but the constant.
+    """
+    out = np.zeros(N_FEATURES + 1)
+    out[N_FEATURES] = 1
+    weights, n = lexicon.clauses(text or "")
+    if weights:
+        total = sum(weights)
+        out[:N_FEATURES] = math.log1p(total), math.log1p(max(weights)), min(2.0, 50 * total / n), math.log1p(len(weights))
     return out
 
 
 def fit(rows: np.ndarray, labels: np.ndarray, l2: float = 0.02, steps: int = 30) -> np.ndarray:
-    """Logistic weights by Newton steps; both labels weigh the same in total."""
+    """Logistic weights by Newton steps; both labels weigh the same in total.
+
+    The number of clauses has no weight of its own, and no weight of a clause's weight is
+    negative, or a stronger attack could lower a score: such a feature is left out.
+    """
+    found = np.zeros(N_FEATURES + 1)
     if len(set(labels.tolist())) < 2:
-        return np.zeros(N_FEATURES)
+        return found
     weight = np.where(labels == 1, 0.5 / labels.mean(), 0.5 / (1 - labels.mean()))
-    w, keep = np.zeros(N_FEATURES), l2 * len(rows) / 100 * np.eye(N_FEATURES)
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(rows @ w, -30, 30)))
-        gradient = rows.T @ (weight * (p - labels)) + keep @ w
-        w = w - np.linalg.solve((rows * (weight * np.maximum(p * (1 - p), 1e-3))[:, None]).T @ rows + keep, gradient)
-    return w
+    used = [*range(N_FEATURES - 1), N_FEATURES]
+    while True:
+        x, w = rows[:, used], np.zeros(len(used))
+        keep = l2 * len(rows) / 100 * np.eye(len(used))
+        for _ in range(steps):
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            gradient = x.T @ (weight * (p - labels)) + keep @ w
+            w = w - np.linalg.solve((x * (weight * np.maximum(p * (1 - p), 1e-3))[:, None]).T @ x + keep, gradient)
+        if len(used) == 1 or w[:-1].min() >= 0:
+            found[used] = w
+            return found
+        used.pop(int(w[:-1].argmin()))
 
 
 def group_of(text: str) -> int:
@@ -129,11 +176,11 @@ def group_of(text: str) -> int:
     return int((h.view(np.int64)).min()) if len(h) else 0
 
 
-def learned_insults(sample: DataFrame, *, min_groups: int = 6, min_ratio: float = 12.0, most: int = 5000) -> dict[str, float]:
+def learned_insults(sample: DataFrame, *, min_groups: int = 6, min_ratio: float = 12.0) -> dict[str, float]:
     """Words and stems that toxic documents hold far oftener than others, with log ratios.
 
     Groups of near copies count once, or a copied document's rare words would pass as
-    insults. At most ``most`` entries, those of greatest support, leave the executors.
+    insults. The sample is bounded, and so are the entries that leave the executors.
     """
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,13 +196,14 @@ def learned_insults(sample: DataFrame, *, min_groups: int = 6, min_ratio: float
     sizes = sample.agg(F.sum("label"), F.sum(1 - F.col("label"))).first()
     share = (sizes[0] or 0) / max(sizes[1] or 0, 1)
     ratio = (F.col("toxic") / (F.col("clean") + 0.5)) / max(share, 1e-6)
-    kept = counts.where((F.col("toxic") >= min_groups) & (ratio >= min_ratio)).select("key", F.log(ratio).alias("strength"), "toxic")
-    return {r["key"]: r["strength"] for r in kept.orderBy(F.col("toxic").desc(), "key").limit(most).collect()}
+    kept = counts.where((F.col("toxic") >= min_groups) & (ratio >= min_ratio)).select("key", F.log(ratio).alias("strength"))
+    return {r["key"]: r["strength"] for r in kept.collect()}
 
 
 def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", rows: int = 8000) -> tuple[dict[str, float], np.ndarray]:
     """Insult strengths and class weights from at most ``rows`` labelled documents that
-    are not held out. Without rows of both labels there are no weights: all scores are 1/2.
+    are not held out. Without rows of both labels, or without any, there are no weights: all
+    scores are 1/2.
     """
     sample = labelled_sample(docs, labels, label, rows)
     insults = learned_insults(sample)
@@ -168,11 +216,12 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", rows: int
 
     def weigh(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = [(np.frombuffer(r["x"]), r["label"]) for b in batches for r in b.to_pylist()]
-        w = fit(np.array([x for x, _ in both]), np.array([y for _, y in both], float)) if both else np.zeros(N_FEATURES)
+        w = fit(np.array([x for x, _ in both]), np.array([y for _, y in both], float)) if both else np.zeros(N_FEATURES + 1)
         yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary())], names=["w"])
 
     small = sample.mapInArrow(vectors, "x binary, label int, id string").repartition(1).sortWithinPartitions("id", "x")
-    return insults, np.frombuffer(small.mapInArrow(weigh, "w binary").collect()[0][0])
+    found = small.mapInArrow(weigh, "w binary").collect()
+    return insults, np.frombuffer(found[0][0]) if found else np.zeros(N_FEATURES + 1)
 
 
 def score(docs: DataFrame, insults: dict[str, float], weights: np.ndarray, *, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -187,9 +236,9 @@ def score(docs: DataFrame, insults: dict[str, float], weights: np.ndarray, *, th
         lexicon = Lexicon(insults)
         for batch in batches:
             rows = [features(x.as_py(), lexicon) for x in batch.column("text")]
-            x = np.array(rows).reshape(-1, N_FEATURES)
+            x = np.array(rows).reshape(-1, N_FEATURES + 1)
             p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
-            n = np.rint(np.expm1(x[:, : len(CLASSES)]).sum(axis=1)).astype(np.int64)
+            n = np.rint(np.expm1(x[:, N_FEATURES - 1])).astype(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("held_out"), pa.array(p), pa.array(n)], names=["id", "held_out", "score", "n_clauses"])
 
     rows = docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))

@@ -199,11 +199,54 @@ def test_toxicity_learns_stems_not_copied_words(spark):
     assert all(got[i][2] == y for i, _, y in data)
 
 
-def test_grammar_keeps_negation_and_report_until_the_clause_ends():
-    lexicon = toxicity.Lexicon({"scum": 3.0})
-    plain, denied, told = (toxicity.clause_classes(lexicon.read(x.split())) for x in ("you are scum.", "you are not scum.", "he said you are scum."))
-    assert len(plain) == len(denied) == len(told) == 1 and len({*plain, *denied, *told}) == 3
-    assert toxicity.clause_classes(lexicon.read("not this. you are scum.".split())) == plain
+def test_grammar_is_ordered():
+    """Negation and report weaken what follows them within reach, a target strengthens."""
+    lexicon = toxicity.Lexicon({"scum": 3.0, "you": 1.0, "burn": 2.0})
+    weigh = lambda text: sum(lexicon.clauses(text)[0])
+    plain = weigh("they are scum.")
+    assert plain > weigh("he said they are scum.") > weigh("they are not scum.") > weigh("he said they are not scum.") > 0
+    assert weigh("they are scum, not nice.") == plain == weigh("not a nice day, they are scum.") == weigh("he is not here\nthey are scum")
+    assert weigh("not one two three four scum") == weigh("scum") < weigh("scum like them") == plain
+    assert weigh("he said this, scum.") == weigh("he said scum.") < weigh("he said this. scum.")
+    assert weigh("you") == 1.5 and weigh("burn") == 2.0  # all readings: an insult that is a target or a threat
+    assert lexicon.clauses("kill them. nothing. scum\nscum")[0] == [1.5, 3.0, 3.0] and lexicon.clauses("")[0] == []
+
+
+def _toxic_sample(spark, n=400):
+    r = random.Random(1)
+    plain = lambda: " ".join("w%d" % r.randrange(300) for _ in range(40))
+    data = [(i, plain() + (" . you are vileman%d ." % (i % 7) if i % 4 == 0 else " ."), int(i % 4 == 0)) for i in range(n)]
+    return (spark.createDataFrame([d[:2] for d in data], "doc_id long, text string"), spark.createDataFrame([(d[0], d[2]) for d in data], "doc_id long, toxic int"))
+
+
+def test_direct_reported_and_denied_insults_get_falling_scores(spark):
+    model = toxicity.train(*_toxic_sample(spark))
+    body = "w1 w2 w3 w4 w5 w6 w7 w8 . {} ."
+    texts = ["you are vileman1", "he said you are vileman1", "you are not vileman1", "nothing at all"]
+    got = collected(toxicity.score(spark.createDataFrame([(i, body.format(t)) for i, t in enumerate(texts)], "doc_id long, text string"), *model))
+    scores = [got[i][1] for i in range(4)]
+    assert scores[0] > scores[1] > scores[2] > scores[3] and got[0][2] == 1 and got[3][2] == 0
+    without = toxicity.score(spark.createDataFrame([(0, body.format(texts[0]))], "doc_id long, text string"), {}, model[1]).first()
+    assert without.score == got[3][1]  # nothing outside matched clauses counts
+
+
+@pytest.mark.parametrize("labels", [[], [(1, 1), (2, 1), (3, 1)], [(1, None)]])
+def test_training_without_both_labels_scores_a_half(spark, labels):
+    rows = spark.createDataFrame([(1, "a b"), (2, "c"), (3, None)], "doc_id long, text string")
+    for docs in (rows, rows.limit(0)):
+        marks = spark.createDataFrame(labels, "doc_id long, toxic int")
+        got = toxicity.score(rows, *toxicity.train(docs, marks)).collect()
+        assert [x.score for x in got] == [0.5] * 3
+        both = quality_classifier.train(docs, marks.withColumnRenamed("toxic", "quality"))
+        assert quality_classifier.score(rows, both).count() == 3
+
+
+def test_toxic_documents_are_found_among_held_out_rows(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    true = {r.doc_id: r.toxic for r in labels.collect()}
+    found = [(true[r.doc_id], r.predicted) for r in toxicity.score(docs, *toxicity.train(docs, labels)).collect() if r.held_out and r.doc_id in true]
+    toxic, clean = [p for y, p in found if y == 1], [p for y, p in found if y == 0]
+    assert len(toxic) > 20 and sum(toxic) >= 0.9 * len(toxic) and sum(clean) <= 0.02 * len(clean)
 
 
 def test_avi_round_trip(docs, rows):
