@@ -128,19 +128,19 @@ class Lexicon:
         return out, len(words)
 
 
-N_FEATURES = 4
+N_FEATURES = 5
 
 
 def features(text: str | None, lexicon: Lexicon) -> np.ndarray:
     """Of the weights of the matched clauses: the log of their sum, of the largest, their sum
     per word, and the log of their number as the last but the constant.
     """
-    out = np.zeros(N_FEATURES + 1)
-    out[N_FEATURES] = 1
+    out = np.zeros(N_FEATURES)
+    out[-1] = 1
     weights, n = lexicon.clauses(text or "")
     if weights:
         total = sum(weights)
-        out[:N_FEATURES] = math.log1p(total), math.log1p(max(weights)), min(2.0, 50 * total / n), math.log1p(len(weights))
+        out[:-1] = math.log1p(total), math.log1p(max(weights)), min(2.0, 50 * total / n), math.log1p(len(weights))
     return out
 
 
@@ -150,11 +150,11 @@ def fit(rows: np.ndarray, labels: np.ndarray, l2: float = 0.02, steps: int = 30)
     The number of clauses has no weight of its own, and no weight of a clause's weight is
     negative, or a stronger attack could lower a score: such a feature is left out.
     """
-    found = np.zeros(N_FEATURES + 1)
+    found = np.zeros(N_FEATURES)
     if len(set(labels.tolist())) < 2:
         return found
     weight = np.where(labels == 1, 0.5 / labels.mean(), 0.5 / (1 - labels.mean()))
-    used = [*range(N_FEATURES - 1), N_FEATURES]
+    used = [*range(N_FEATURES - 2), N_FEATURES - 1]
     while True:
         x, w = rows[:, used], np.zeros(len(used))
         keep = l2 * len(rows) / 100 * np.eye(len(used))
@@ -216,12 +216,12 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", rows: int
 
     def weigh(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = [(np.frombuffer(r["x"]), r["label"]) for b in batches for r in b.to_pylist()]
-        w = fit(np.array([x for x, _ in both]), np.array([y for _, y in both], float)) if both else np.zeros(N_FEATURES + 1)
+        w = fit(np.array([x for x, _ in both]), np.array([y for _, y in both], float)) if both else np.zeros(N_FEATURES)
         yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary())], names=["w"])
 
     small = sample.mapInArrow(vectors, "x binary, label int, id string").repartition(1).sortWithinPartitions("id", "x")
     found = small.mapInArrow(weigh, "w binary").collect()
-    return insults, np.frombuffer(found[0][0]) if found else np.zeros(N_FEATURES + 1)
+    return insults, np.frombuffer(found[0][0]) if found else np.zeros(N_FEATURES)
 
 
 def score(docs: DataFrame, insults: dict[str, float], weights: np.ndarray, *, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -236,9 +236,9 @@ def score(docs: DataFrame, insults: dict[str, float], weights: np.ndarray, *, th
         lexicon = Lexicon(insults)
         for batch in batches:
             rows = [features(x.as_py(), lexicon) for x in batch.column("text")]
-            x = np.array(rows).reshape(-1, N_FEATURES + 1)
+            x = np.array(rows).reshape(-1, N_FEATURES)
             p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
-            n = np.rint(np.expm1(x[:, N_FEATURES - 1])).astype(np.int64)
+            n = np.rint(np.expm1(x[:, -2])).astype(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("held_out"), pa.array(p), pa.array(n)], names=["id", "held_out", "score", "n_clauses"])
 
     rows = docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))

@@ -207,7 +207,7 @@ def test_grammar_is_ordered():
     assert plain > weigh("he said they are scum.") > weigh("they are not scum.") > weigh("he said they are not scum.") > 0
     assert weigh("they are scum, not nice.") == plain == weigh("not a nice day, they are scum.") == weigh("he is not here\nthey are scum")
     assert weigh("not one two three four scum") == weigh("scum") < weigh("scum like them") == plain
-    assert weigh("he said this, scum.") == weigh("he said scum.") < weigh("he said this. scum.")
+    assert weigh("said this, scum.") == weigh("said scum.") < weigh("said this. scum.")
     assert weigh("you") == 1.5 and weigh("burn") == 2.0  # all readings: an insult that is a target or a threat
     assert lexicon.clauses("kill them. nothing. scum\nscum")[0] == [1.5, 3.0, 3.0] and lexicon.clauses("")[0] == []
 
@@ -215,7 +215,7 @@ def test_grammar_is_ordered():
 def _toxic_sample(spark, n=400):
     r = random.Random(1)
     plain = lambda: " ".join("w%d" % r.randrange(300) for _ in range(40))
-    data = [(i, plain() + (" . you are vileman%d ." % (i % 7) if i % 4 == 0 else " ."), int(i % 4 == 0)) for i in range(n)]
+    data = [(i, plain() + (" . you are vileman%d ." if i % 4 == 0 else " . you are w%d .") % (i % 7), int(i % 4 == 0)) for i in range(n)]
     return (spark.createDataFrame([d[:2] for d in data], "doc_id long, text string"), spark.createDataFrame([(d[0], d[2]) for d in data], "doc_id long, toxic int"))
 
 
