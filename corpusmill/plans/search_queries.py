@@ -205,12 +205,38 @@ def _(t):
     return R.retry_with_keywords(found.select("query_id", "chunk_uid", "score", "rank", "strategy"), queries, corpus(t))
 
 
-@query("embed_texts", "id bigint, norm double, dim bigint", """
-SELECT id, CASE WHEN trim(translate(content, chr(10), ' ')) = '' THEN 0.0 ELSE 1.0 END AS norm, 64 AS dim FROM {messages}""")
+# Words of a message by the encoder's rule: code % 64 is the place, bit 16 the sign.
+_FEATURES = f"""SELECT id, code % 64 AS place, sum(CASE WHEN (code >> 16) & 1 = 1 THEN 1.0 ELSE -1.0 END * n) AS x FROM (
+  SELECT id, w, count(*) AS n FROM (SELECT id, unnest(string_split(lower(translate(content, chr(10), ' ')), ' ')) AS w FROM {{messages}}) WHERE w <> '' GROUP BY ALL) m
+  JOIN (SELECT w, {S.crc32('w')} AS code FROM (SELECT DISTINCT unnest(string_split(lower(translate(content, chr(10), ' ')), ' ')) AS w FROM {{messages}}), (SELECT {S.CRC_TABLE} AS crc)) c ON c.w = m.w
+  GROUP BY ALL"""
+
+
+@query("embed_texts", "id bigint, norm double, dim bigint, vector string", f"""
+SELECT m.id, CASE WHEN v.id IS NULL THEN 0.0 ELSE 1.0 END AS norm, 64 AS dim, coalesce(vector, '') AS vector FROM {{messages}} m LEFT JOIN (
+  SELECT id, string_agg(CAST(place AS VARCHAR) || ':' || CAST(CAST(round(1000 * x / size) AS BIGINT) AS VARCHAR), ' ' ORDER BY place) AS vector
+  FROM (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY id)) AS size FROM ({_FEATURES})) WHERE x <> 0 GROUP BY id) v ON v.id = m.id""")
 def _(t):
     rows = R.embed(t.messages, "content", R.hashing_encoder(64), 64)
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    return rows.select("id", F.round(norm, 3).alias("norm"), F.size("embedding").alias("dim"))
+    cells = F.transform("embedding", lambda x, i: F.when(x != 0, F.concat_ws(":", i.cast("string"), F.round(1000 * x.cast("double")).cast("long").cast("string"))))
+    vector = F.array_join(F.filter(cells, lambda c: c.isNotNull()), " ")
+    return rows.select("id", F.round(norm, 3).alias("norm"), F.size("embedding").alias("dim"), vector.alias("vector"))
+
+
+def _shared_words(query: str, content: str):
+    """Re-ranker stand-in: distinct words of the query that the content has."""
+    words = lambda c: F.array_distinct(F.split(F.lower(c), " "))
+    return F.size(F.array_intersect(words(query), words(content)))
+
+
+_SHARED = "len(list_intersect(list_distinct(string_split(lower(query), ' ')), list_distinct(string_split(lower(content), ' '))))"
+
+
+@query("search_rescored", "query_id bigint, chunk_uid string, rank bigint, score double", f"""
+SELECT query_id, chunk_uid, row_number() OVER (PARTITION BY query_id ORDER BY {_SHARED} DESC, chunk_uid) AS rank, {_SHARED} AS score FROM {{hits}}""")
+def _(t):
+    return R.rescore(t.hits, _shared_words)
 
 
 _NAMES = "SELECT DISTINCT given, person AS name, CASE given WHEN 'An' THEN 0 WHEN 'Nam' THEN 1 WHEN 'Minh' THEN 2 ELSE 3 END AS query_id FROM {notices}"

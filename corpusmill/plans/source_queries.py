@@ -65,6 +65,15 @@ def _(t):
     return rows.select("event_id", F.size("items").alias("n"), F.get_json_object(F.get("items", F.lit(0)), "$.text").alias("first"))
 
 
+@query("landing_files", "lang string, bytes bigint, empty bigint",
+       "SELECT lang, sum(octet_length(encode(text)) + 1) AS bytes, 0 AS empty FROM documents GROUP BY lang")
+def _(t):
+    path = shared_folder(t.spark, "uploads")
+    t.documents.select("lang", "text").write.partitionBy("lang").text(path)
+    files = L.landed_files(t.spark, path).withColumn("lang", F.regexp_extract("path", "lang=([^/]*)", 1))
+    return files.groupBy("lang").agg(F.sum("length").alias("bytes"), F.count_if(F.octet_length("content") != F.col("length")).alias("empty"))
+
+
 # A third of the parts with a quote inside a cell, a third with a quoted cell of two lines.
 _CSV = """SELECT p_partkey % 8 AS g, p_partkey, CASE p_partkey % 3 WHEN 0 THEN '7" ' || p_name WHEN 1 THEN p_name || ',' || chr(10) || '"x"' ELSE p_name END AS name, p_brand FROM {part}"""
 

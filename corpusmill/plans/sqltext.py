@@ -94,3 +94,18 @@ FROM {table} k LEFT JOIN (
         FROM {table}))
     WHERE {fold('line')} <> '' {where})
   WHERE rn = 1 GROUP BY {keys}) j ON {on}"""
+
+
+# crc32 of a text's UTF-8 bytes; the table follows from the polynomial.
+CRC_TABLE = (
+    "list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),"
+    " lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"
+)
+
+
+def crc32(x: str, table: str = "crc") -> str:
+    """Needs a column ``table`` that holds CRC_TABLE."""
+    digit = "(instr('0123456789ABCDEF', substr(hex(encode({x})), {at}, 1)) - 1)"
+    high, low = digit.format(x=x, at="CAST(2 * i + 1 AS INT)"), digit.format(x=x, at="CAST(2 * i + 2 AS INT)")
+    octets = f"[CAST(16 * {high} + {low} AS BIGINT) FOR i IN range(octet_length(encode({x})))]"
+    return f"xor(list_reduce(list_prepend(4294967295, {octets}), lambda c, b: xor(c >> 8, {table}[CAST(xor(c, b) & 255 AS INT) + 1])), 4294967295)"
