@@ -19,6 +19,7 @@ from pyspark.sql.window import Window
 from corpusmill import vocab
 from corpusmill.functions.text import fold, strip
 from corpusmill.operators.filters import TOKEN_BOUNDS, is_invalid_vector, word_tokens
+from corpusmill.session import written
 
 FIELDS = ["content", "title", "content_folded"]
 
@@ -330,23 +331,34 @@ def search_strategy(intent: Column, has_target: Column, keywords: Column) -> Col
 
 
 def search_by_strategy(chunks: DataFrame, queries: DataFrame, limit: int = vocab.SEARCH_LIMIT) -> DataFrame:
-    """Each query by its own ``strategy``; keyword hits keep a null score."""
+    """Each query by its own ``strategy``; keyword hits keep a null score.
+
+    Each engine runs once, for all queries that need it.
+    """
+    by_keyword = written(keyword_search(chunks, queries.where("strategy <> 'semantic'"), limit), "keyword-hits")
+    by_vector = written(semantic_search(chunks, queries.where("strategy <> 'keyword'"), limit), "semantic-hits")
+
+    def part(hits: DataFrame, kind: str) -> DataFrame:
+        return hits.join(queries.where(F.col("strategy") == kind).select("query_id"), "query_id", "left_semi")
+
     found = {
-        "keyword": keyword_search(chunks, queries.where("strategy = 'keyword'"), limit).withColumn(
-            "score", F.lit(None).cast("double")),
-        "semantic": semantic_search(chunks, queries.where("strategy = 'semantic'"), limit),
-        "hybrid": hybrid_search(chunks, queries.where("strategy = 'hybrid'"), limit),
+        "keyword": part(by_keyword, "keyword").withColumn("score", F.lit(None).cast("double")),
+        "semantic": part(by_vector, "semantic"),
+        "hybrid": hybrid_merge(part(by_keyword, "hybrid"), part(by_vector, "hybrid"), queries, chunks, limit),
     }
     columns = ["query_id", "chunk_uid", "score", "rank"]
     out = None
     for name, hits in found.items():
-        part = hits.select(*columns, F.lit(name).alias("strategy"))
-        out = part if out is None else out.unionByName(part)
+        kind = hits.select(*columns, F.lit(name).alias("strategy"))
+        out = kind if out is None else out.unionByName(kind)
     return out
 
 
 def retry_with_keywords(hits: DataFrame, queries: DataFrame, chunks: DataFrame, limit: int = vocab.SEARCH_LIMIT) -> DataFrame:
-    """Keyword search for semantic queries that found nothing."""
+    """Keyword search for semantic queries that found nothing; the hits are written, as they
+    are read twice.
+    """
+    hits = written(hits, "semantic-hits")
     missed = queries.join(hits.select("query_id").distinct(), "query_id", "left_anti").where(
         (F.col("strategy") == "semantic") & (F.size("keywords") > 0)
     )
