@@ -237,7 +237,7 @@ SELECT * FROM {table_rows} WHERE doc_id % 2 = 0
 # Sessions of eight turns. Some ask for a student by a name that one or many have, some by id,
 # and some by neither, as a follow-up.
 CTES["turn_questions"] = """
-SELECT c_custkey AS query_id, 's' || CAST(floor(c_custkey / 8) AS STRING) AS session_id, c_custkey AS turn,
+SELECT c_custkey AS query_id, 's' || CAST(CAST(floor(c_custkey / 8) AS BIGINT) AS STRING) AS session_id, c_custkey AS turn,
   CASE
     WHEN c_nationkey % 6 = 0 THEN 'Điểm rèn luyện của sinh viên ' || CASE WHEN c_custkey % 3 = 1 THEN 'Trần Thị Nam' ELSE 'Đặng Th' || translate(CAST(c_custkey - c_custkey % 3 AS STRING), '0123456789', 'aeioubcdgh') END
     WHEN c_nationkey % 6 = 1 THEN 'xếp loại của msv 22' || lpad(CAST(c_custkey AS STRING), 8, '0') || ' hk' || sem
