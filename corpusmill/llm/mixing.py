@@ -54,17 +54,19 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), epoch
 
 
 def _picked(x: Column, block: int) -> Column:
-    """Words of [0, x) of a shard that lie in its chosen blocks.
-
-    Of ``m`` blocks the ``k`` chosen lie evenly over the shard's shuffled documents,
-    from a seeded start: block j is chosen if (j + start) k / m passes a whole number.
-    """
+    """Words of [0, x) of a shard that lie in its chosen blocks."""
     j = F.floor(x / block)
     return block * (_step(j) - _step(F.lit(0))) + (_step(j + 1) - _step(j)) * (x - block * j)
 
 
 def _step(i: Column) -> Column:
-    return F.floor((i + F.col("start")) * F.col("k") / F.col("m"))
+    """Chosen blocks before block ``i``, up to a constant.
+
+    The ``k`` chosen of a shard's ``m`` blocks follow one another round the shard's
+    shuffled documents from a seeded start, so at most two documents a shard are cut.
+    """
+    run = lambda x: F.greatest(F.lit(0), F.least(x - F.col("start"), F.col("k")))
+    return run(i) + run(i + F.col("m"))
 
 
 def _ranges(low: Column, high: Column, block: int) -> Column:
@@ -84,8 +86,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     All words of the table are dealt out again in blocks of ``block`` words: to the
     sources by their targets, then to shards of about ``shard_words`` words inside
     each source, both by highest quotients. A shard takes whole passes over its
-    documents, then blocks chosen by seed. The order inside a shard is a seeded hash
-    of the id, so reruns agree. Hot sources have many shards; only counts travel.
+    documents, then a run of blocks from a seeded start. Shard and order inside it are
+    seeded hashes of id and text, so reruns agree. Hot sources have many shards, and so
+    have rows of one id or none; only counts travel.
 
     Null and empty texts have size 0 and nothing is taken of them; a null source is
     one more source, the last; rows with a null or repeated id count separately.
@@ -99,9 +102,11 @@ def dealt_ranges(
 ) -> DataFrame:
     """The columns of ``mix``, behind the columns named in ``row``, and ``ranges``: the words
     [low, high) of the row that lie in chosen blocks. What is taken is those words and
-    whole passes besides. Rows of equal id and size are laid out in the order of ``row``.
+    whole passes besides. Equal rows are laid out in the order of ``row``.
     """
-    sizes = written(docs.select(*row, F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.size(words(whole(F.col(text_col)))).cast("long").alias("size")), "mixing")
+    sizes = written(docs.select(
+        *row, F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("mark"), F.col(source_col).cast("string").alias("source"),
+        F.size(words(whole(F.col(text_col)))).cast("long").alias("size")), "mixing")
     sources = written(source_targets(sizes, weights, epochs), "mixing-sources")
     blocks = F.round(F.sum("source_size").over(Window.partitionBy(F.lit(1))) / block).cast("long")
     quotas = apportion(sources.select("*", blocks.alias("n"), F.lit(0).alias("all_sources")), "all_sources", "source_no", "target", "n")
@@ -109,7 +114,8 @@ def dealt_ranges(
         F.col("source").alias("of"), "source_no", "source_size", "target", F.coalesce("quota", F.lit(0)).alias("seats"),
         F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).cast("long").alias("n_shards"))
     placed = sizes.join(planned, F.col("source").eqNullSafe(F.col("of"))).select(
-        *row, "id", "size", "source_no", "source_size", "target", "seats", F.pmod(seeded(seed, F.col("id")), F.col("n_shards")).alias("shard"), seeded(seed + 1, F.col("id")).alias("key"))
+        *row, "id", "mark", "size", "source_no", "source_size", "target", "seats",
+        F.pmod(seeded(seed, F.col("id"), F.col("mark")), F.col("n_shards")).alias("shard"), seeded(seed + 1, F.col("id"), F.col("mark")).alias("key"))
     shards = placed.groupBy("source_no", "shard").agg(F.sum("size").alias("shard_size"), F.first("seats").alias("seats"))
     shares = apportion(shards, "source_no", "shard", "shard_size", "seats")
     dealt = (
@@ -118,7 +124,7 @@ def dealt_ranges(
         .select(
             "source_no", "shard", "passes", "m", F.pmod(seeded(seed + 2, F.col("source_no"), F.col("shard")), F.col("m")).alias("start"),
             F.least(F.col("m"), F.round((F.col("words") - F.col("passes") * F.col("shard_size")) / block).cast("long")).alias("k")))
-    line = Window.partitionBy("source_no", "shard").orderBy("key", "id", "size", *row).rowsBetween(Window.unboundedPreceding, 0)
+    line = Window.partitionBy("source_no", "shard").orderBy("key", "id", "mark", "size", *row).rowsBetween(Window.unboundedPreceding, 0)
     laid = placed.withColumn("end", F.sum("size").over(line)).join(dealt, ["source_no", "shard"], "left")
     taken = F.col("passes") * F.col("size") + _picked(F.col("end"), block) - _picked(F.col("end") - F.col("size"), block)
     ranges = _ranges(F.col("end") - F.col("size"), F.col("end"), block)
@@ -126,18 +132,20 @@ def dealt_ranges(
 
 
 def mixed(docs: DataFrame, **settings) -> DataFrame:
-    """``docs`` with texts of the taken words: whole copies, then the ranges of the chosen
-    blocks, one below the other; inside a range the text is as it was. Rows of which
-    nothing is taken go.
+    """One row per copy that the mix takes of a document: a whole text per pass, then what
+    the chosen blocks hold, the words of a range as they stand in the text, a line break
+    between two ranges. Rows of which nothing is taken go.
 
-    Rows are numbered on disk, so each gets its own words, also where ids repeat.
+    Rows are numbered on disk, so each gets its own words, also where ids repeat. A
+    task's later passes follow its earlier ones, so copies of a text are not neighbours.
     """
-    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "mixed-rows")
-    taken = dealt_ranges(rows.select(F.xxhash64("text").alias("_mark"), "_row", "doc_id", "text", "source"), row=("_mark", "_row"), **settings).where("taken > 0").select(
-        "_row", F.floor(F.col("taken") / F.col("size")).cast("int").alias("_copies"), F.when(F.col("taken") % F.col("size") > 0, F.col("ranges")).alias("_ranges"))
-    both = rows.join(taken, "_row")
-    cut = lambda spelled: F.transform("_ranges", lambda r: F.rtrim(F.array_join(F.slice(spelled, r["low"] + 1, r["high"] - r["low"]), ""), F.lit(SPACES)))
+    rows = written(docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("_row")), "mixed-rows")
+    dealt = dealt_ranges(rows.select("_row", "doc.doc_id", "doc.text", "doc.source"), row=("_row",), **settings).where("taken > 0")
+    passes, more = F.floor(F.col("taken") / F.col("size")), F.col("taken") % F.col("size") > 0
+    copies = dealt.select("_row", "ranges", passes.alias("_passes"), F.explode(F.sequence(F.lit(0), passes - F.when(more, 0).otherwise(1))).alias("_pass"))
+    cut = lambda spelled: F.array_join(F.transform("ranges", lambda r: F.rtrim(F.array_join(F.slice(spelled, r["low"] + 1, r["high"] - r["low"]), ""), F.lit(SPACES))), "\n")
     # bound as a variable, so that a text is split once for all of its ranges
-    spelled = F.array(F.regexp_extract_all("text", F.lit(f"{SPACE.replace('[', '[^')}+{SPACE}*"), F.lit(0)))
-    parts = F.concat(F.array_repeat("text", F.col("_copies")), F.when(F.col("_ranges").isNotNull(), F.flatten(F.transform(spelled, cut))).otherwise(F.array().cast("array<string>")))
-    return both.withColumn("text", F.array_join(parts, "\n")).select(*docs.columns)
+    spelled = F.array(F.regexp_extract_all("doc.text", F.lit(f"{SPACE.replace('[', '[^')}+{SPACE}*"), F.lit(0)))
+    text = F.when(F.col("_pass") < F.col("_passes"), F.col("doc.text")).otherwise(F.get(F.transform(spelled, cut), F.lit(0)))
+    taken = rows.join(copies, "_row").sortWithinPartitions("_pass", "_row")
+    return taken.select(*[text.alias(c) if c == "text" else F.col("doc").getField(c).alias(c) for c in docs.columns])

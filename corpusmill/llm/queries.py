@@ -103,7 +103,7 @@ rows AS (SELECT doc_id, source, text, unnest(l) AS x FROM t),
 norm AS (SELECT doc_id, source, text, lower(regexp_replace({TRIMMED.format('x')}, '[0-9]+', '0', 'g')) AS k, length({TRIMMED.format('x')}) AS n FROM rows),
 held AS (SELECT source, k, count(DISTINCT text) AS texts, min(doc_id) AS first FROM norm GROUP BY source, k),
 hosts AS (SELECT source, count(DISTINCT text) AS of FROM d GROUP BY source),
-many AS (SELECT held.* FROM held JOIN hosts ON held.source IS NOT DISTINCT FROM hosts.source WHERE texts >= 20 AND texts >= 0.1 * of),
+many AS (SELECT held.* FROM held JOIN hosts ON held.source IS NOT DISTINCT FROM hosts.source WHERE texts >= 20 AND texts * texts >= of),
 lost AS (SELECT doc_id, sum(n) AS n FROM norm JOIN many ON norm.source IS NOT DISTINCT FROM many.source AND norm.k = many.k AND doc_id > first GROUP BY doc_id),
 chars AS (SELECT doc_id, sum(n) AS n FROM norm GROUP BY doc_id),
 base AS (

@@ -66,13 +66,35 @@ def test_quality_rules(docs, rows):
         assert got[i].base_failed == (len(w) < 10 or 100 * len(hit) > 20 * len(w))
 
 
+def letters(n):
+    return "".join(chr(97 + int(x)) for x in str(n))
+
+
 def test_common_lines_deplete(spark):
-    letters = lambda n: "".join(chr(97 + int(x)) for x in str(n))
     own = lambda i: " ".join(f"{letters(i)}x{letters(k)}" for k in range(60 if i % 2 == 0 else 8))
     data = [(i, "the same line of this host once more, and again it is here as ever before\n" + own(i), "h") for i in range(60)]
     got = {r.doc_id: r for r in quality_rules.quality_rules(spark.createDataFrame(data, "doc_id long, text string, source string")).collect()}
     assert got[0].chars_dropped == 0 and got[1].chars_dropped == 73
     assert not got[1].kept and got[2].kept
+    good = {r.doc_id: r.text for r in quality_rules.keep_good(spark.createDataFrame(data, "doc_id long, text string, source string")).collect()}
+    assert good == {0: data[0][1]} | {i: own(i) for i in range(2, 60, 2)}
+
+
+def test_line_limit_falls_as_the_host_grows(spark):
+    line = "this line of the host is in its twenty-five first texts, wherever they are"
+    for n, gone in ((500, True), (700, False)):  # 25 is the root of 625
+        data = [(i, (line + "\n" if i < 25 else "") + " ".join(f"{letters(i)}x{letters(k)}" for k in range(60)), "h") for i in range(n)]
+        got = quality_rules.quality_rules(spark.createDataFrame(data, "doc_id long, text string, source string"))
+        assert got.where("chars_dropped > 0").count() == (24 if gone else 0)
+
+
+def test_texts_of_one_id_lose_their_own_lines(spark):
+    line, own = "a common line that all pages of this host begin with, again and again", lambda i: " ".join(f"{i}x{letters(k)}" for k in range(60))
+    data = [(i, f"{line}\n{own(letters(i))}", "h") for i in range(30)] + [(29, own("x"), "h"), (29, f"{line}\nfew words that are left of this text", "h")] * 2
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(3)
+    got = [(r.chars_dropped, r.kept) for r in quality_rules.quality_rules(docs).where("doc_id = 29").collect()]
+    assert Counter(got) == {(len(line), True): 1, (0, True): 2, (len(line), False): 2}
+    assert Counter(r.text for r in quality_rules.keep_good(docs).where("doc_id = 29").collect()) == {own(letters(29)): 1, own("x"): 2}
 
 
 def test_line_dedup(docs, rows):
@@ -366,26 +388,48 @@ def test_mix(docs, rows):
 
 def test_mixed_texts_have_the_taken_words(docs):
     taken = {r.doc_id: r.taken for r in mixing.mix(docs).collect()}
-    got = {r.doc_id: r for r in mixing.mixed(docs).collect()}
-    assert {i: len(words(r.text)) for i, r in got.items()} == {i: n for i, n in taken.items() if n}
+    got = Counter()
+    for r in mixing.mixed(docs).collect():
+        got[r.doc_id] += len(words(r.text))
+    assert got == {i: n for i, n in taken.items() if n}
 
 
-def test_mixed_texts_are_the_words_of_the_chosen_blocks(docs, rows):
+def test_mixed_texts_are_copies_and_the_words_of_the_chosen_blocks(docs, rows):
     settings, texts = {"block": 4, "shard_words": 500}, {i: t or "" for i, t, *_ in rows}
-    got = {r.doc_id: r.text for r in mixing.mixed(docs, **settings).collect()}
-    tails = 0
+    got = {}
+    for r in mixing.mixed(docs, **settings).collect():
+        got.setdefault(r.doc_id, []).append(r.text)
+    cut = 0
     for r in mixing.dealt_ranges(docs, **settings).where("taken > 0").collect():
         own, text = words(texts[r.doc_id]), texts[r.doc_id]
         copies, more = divmod(r.taken, r.size)
         picked = [w for a in r.ranges for w in own[a.low : a.high]] if more else []
         assert len(picked) == more and all(a.high < b.low for a, b in zip(r.ranges, r.ranges[1:]))
-        assert words(got[r.doc_id]) == own * copies + picked, r.doc_id
-        pieces = got[r.doc_id][len("\n".join([text] * copies)) :].encode()
+        parts = [t for t in got[r.doc_id] if t != text]
+        assert len(got[r.doc_id]) == copies + bool(more) and len(parts) <= 1, r.doc_id  # a row per copy
+        assert not more or words(parts[0]) == picked
         for a in r.ranges if more else []:  # white space inside a range is the text's
             at = [m.span() for m in re.finditer(rb"[^ \t-\r]+", text.encode())]
-            assert text.encode()[at[a.low][0] : at[a.high - 1][1]] in pieces
-        tails += bool(more) and r.ranges[-1].high > more
-    assert tails > 5
+            assert text.encode()[at[a.low][0] : at[a.high - 1][1]] in parts[0].encode()
+        cut += bool(more)
+    assert cut > 2
+
+
+def test_mixture_takes_whole_documents(spark):
+    """Of each shard at most two documents are cut, whatever the share taken."""
+    data = [(i, " ".join(f"{i}w{k}" for k in range(40 + i % 60)), "abc"[i % 3]) for i in range(1500)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string")
+    texts = {i: t for i, t, _ in data}
+    got = mixing.mixed(docs, shard_words=10_000).collect()
+    shards = 3 * (500 * 100 // 10_000 + 1)
+    assert len(got) > 1200 and sum(r.text != texts[r.doc_id] for r in got) <= 2 * shards
+    assert {n for n in Counter(r.doc_id for r in got if r.source == "a").values()} <= {1, 2, 3}
+
+
+def test_rows_without_id_spread_over_shards(spark):
+    data = [(None, " ".join(f"{i}w{k}" for k in range(50)), "a") for i in range(400)]
+    taken = [r.taken for r in mixing.mix(spark.createDataFrame(data, "doc_id long, text string, source string"), shard_words=1000).collect()]
+    assert len(taken) == 400 and abs(sum(taken) - 20_000) <= 20 * 32
 
 
 def test_stages_keep_rows_of_null_and_repeated_ids(spark):
@@ -397,7 +441,7 @@ def test_stages_keep_rows_of_null_and_repeated_ids(spark):
     assert Counter(map(tuple, good.collect())) == Counter(expected)
     got = Counter(tuple(r) for r in mixing.mixed(good, block=8, weights=(1, 1)).collect())
     assert sum(len(words(t)) * n for (_, t, _), n in got.items()) == sum(r.taken for r in mixing.mix(good, block=8, weights=(1, 1)).collect())
-    assert len([g for g in got if g[0] is None]) == 2
+    assert {g[2] for g in got if g[0] is None} == {"s", None}
     for i, text, source in got:  # every text is made of words of its own row
         assert any((i, source) == (j, s) and set(words(text)) <= set(words(x)) for j, x, s in expected)
     again = Counter(tuple(r) for r in mixing.mixed(good.repartition(5), block=8, weights=(1, 1)).collect())
