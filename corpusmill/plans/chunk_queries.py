@@ -161,11 +161,14 @@ def _(t):
     return V.version_log(t.uploads, size=64)
 
 
-@query("versions_with_deletes", "id bigint, filename string, version bigint, parent_id bigint", """
+_WITH_DELETES = """
 WITH u AS (SELECT filename, doc_id AS id, lag(doc_id) OVER w AS prev, row_number() OVER w AS n FROM {upload_events} WHERE kind = 'upload' WINDOW w AS (PARTITION BY filename ORDER BY seq)),
 f AS (SELECT doc_id, arg_max(kind, seq) AS last_flag FROM {upload_events} WHERE kind <> 'upload' GROUP BY doc_id),
 s AS (SELECT u.*, prev IS NULL OR coalesce(last_flag = 'delete', FALSE) AS fresh FROM u LEFT JOIN f ON f.doc_id = prev)
-SELECT id, filename, n - max(CASE WHEN fresh THEN n END) OVER (PARTITION BY filename ORDER BY n) + 1 AS version, CASE WHEN NOT fresh THEN prev END AS parent_id FROM s""")
+SELECT id, filename, n - max(CASE WHEN fresh THEN n END) OVER (PARTITION BY filename ORDER BY n) + 1 AS version, CASE WHEN NOT fresh THEN prev END AS parent_id FROM s"""
+
+
+@query("versions_with_deletes", "id bigint, filename string, version bigint, parent_id bigint", _WITH_DELETES)
 def _(t):
     return V.version_log_with_deletes(t.upload_events, size=640)
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.operators import chunking as C
 from corpusmill.operators import versions as V
-from corpusmill.plans.chunk_queries import _LOG
+from corpusmill.plans.chunk_queries import _LOG, _WITH_DELETES
 from corpusmill.plans.dialogue_queries import _BOTH, _NUM, _PARTS, _TURNS
 from corpusmill.plans.registry import query
 from corpusmill.session import shared_folder
@@ -14,6 +14,7 @@ from corpusmill.sources import landing as L
 from corpusmill.sources import sinks as K
 from corpusmill.streaming.ingest import current_chunks, start_ingest
 from corpusmill.streaming.memory import stream_memory
+from corpusmill.streaming.versions import compact_store, read_versions, start_versions
 
 col = F.col
 
@@ -165,3 +166,29 @@ def _(t):
     )
     run.awaitTermination()
     return t.spark.read.parquet(f"{base}/out")
+
+
+def _versions_store(t) -> str:
+    """A store whose versions were streamed, the events coming in three steps by ``seq``."""
+    base = shared_folder(t.spark, "versions")
+    low, high = t.upload_events.agg(F.coalesce(F.min("seq"), F.lit(0)), F.coalesce(F.max("seq"), F.lit(0))).first()
+    steps = t.upload_events.withColumn("step", F.floor((col("seq") - low) * 3 / (high - low + 1)))
+    for step in range(3):
+        steps.where(col("step") == step).select("filename", "seq", "kind", "doc_id").repartition(2, "filename").write.mode("append").parquet(f"{base}/events")
+    events = t.spark.readStream.schema(t.upload_events.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/events")
+    start_versions(events, base, f"{base}/checkpoint").awaitTermination()
+    return base
+
+
+@query("stream_versions", "id bigint, filename string, version bigint, parent_id bigint", _WITH_DELETES)
+def _(t):
+    return read_versions(t.spark, _versions_store(t))
+
+
+@query("chunks_compact_replaced", "doc_id bigint, chunk_uid string",
+       f"SELECT doc_id, chunk_uid FROM {{notices}} WHERE doc_id NOT IN (SELECT parent_id FROM ({_WITH_DELETES}) WHERE parent_id IS NOT NULL)")
+def _(t):
+    base = _versions_store(t)
+    K.write_chunks(t.spark, t.notices.select("doc_id", "chunk_uid"), f"{base}/chunks", 8)
+    compact_store(t.spark, base, f"{base}/compacted", 8)
+    return t.spark.read.parquet(f"{base}/compacted/chunks")

@@ -15,6 +15,7 @@ from corpusmill.operators import retrieval as R
 from corpusmill.operators import versions as V
 from corpusmill.session import shared_folder
 from corpusmill.sources import sinks
+from corpusmill.streaming import versions as SV
 from corpusmill.streaming.memory import stream_memory
 
 
@@ -165,6 +166,25 @@ def test_stream_memory_continues_between_runs(spark):
     assert out[8].summary.count(" | ") == 1 and out[2].summary == ""
 
 
+def test_stream_versions_and_compaction(spark):
+    """Upload, re-upload, delete, upload in four batches; compaction leaves no replaced chunk on disk."""
+    base = shared_folder(spark, "versions")
+    steps = [[("f", 1, "upload", 10), ("g", 2, "upload", 20)], [("f", 3, "upload", 11)],
+             [("f", 4, "delete", 11), ("g", 5, "delete", 20), ("g", 6, "restore", 20)], [("f", 7, "upload", 12), ("g", 9, "upload", 22), ("g", 8, "upload", 21)]]
+    for n, step in enumerate(steps):
+        spark.createDataFrame(step, SV.EVENT_SCHEMA).coalesce(1).write.mode("append").parquet(f"{base}/events")
+        SV.start_versions(spark.readStream.schema(SV.EVENT_SCHEMA).parquet(f"{base}/events"), base, f"{base}/cp").awaitTermination()
+        uploads = [(e[3], f"u{e[3]}", "text") for e in step if e[2] == "upload"]
+        sinks.write_chunks(spark, spark.createDataFrame(uploads, "doc_id bigint, chunk_uid string, content string"), f"{base}/chunks", 2, n)
+    columns = ["filename", "seq", "id", "version", "parent_id"]
+    batch = V.version_log_with_deletes(spark.createDataFrame(sum(steps, []), SV.EVENT_SCHEMA)).select(columns)
+    got = sorted(map(tuple, SV.read_versions(spark, base).select(columns).collect()))
+    assert got == sorted(map(tuple, batch.collect()))
+    assert [(r[2], r[3], r[4]) for r in got if r[0] == "f"] == [(10, 1, None), (11, 2, 10), (12, 1, None)]
+    SV.compact_store(spark, base, f"{base}/new", 2)
+    assert {r.doc_id for r in spark.read.parquet(f"{base}/new/chunks").collect()} == {11, 12, 22}
+
+
 def test_skewed_keyword_search(spark):
     """A word in most chunks still gives the first chunks, in both plans."""
     rows = [(f"{i:05d}", "common" + (" rare" if i % 50 == 0 else ""), "t", "common") for i in range(500)]
