@@ -203,18 +203,19 @@ def explicit_year_filter(hits: DataFrame) -> DataFrame:
     """
     q = normalize_query(F.col("query"))
     text = F.concat_ws(" ", text_or_empty(F.col("title")), _shown("date"), text_or_empty(F.col("source")), text_or_empty(F.col("content")))
-    out = hits.withColumns({
-        "_qy": years(q), "_qr": year_ranges(q), "_terms": topic_terms(F.col("query")),
-        "_hy": years(text), "_hr": year_ranges(text),
-    })
+    out = hits.withColumn("_q", q).withColumns({"_qy": years(F.col("_q")), "_qr": year_ranges(F.col("_q"))}).drop("_q")
+    # Hits of other queries all stay, so their texts are not looked at.
+    several = (F.size("_qr") > 0) | (F.size("_qy") >= 2)
+    out = out.withColumns({
+        "_terms": F.when(several, topic_terms(F.col("query"))), "_text": F.when(several, text),
+    }).withColumns({"_hy": F.when(several, years(F.col("_text"))), "_hr": F.when(several, year_ranges(F.col("_text")))}).drop("_text")
     year_class = (
         F.when(F.arrays_overlap("_qr", "_hr"), 1)
         .when((F.size("_hy") > 0) & (F.size(F.array_except("_qy", "_hy")) == 0), 2)
         .when(F.arrays_overlap("_qy", "_hy"), 3)
     )
     on_topic = topic_matches(_joined("title", "source", "content"), F.col("_terms"))
-    out = out.withColumn("_class", F.when(on_topic & (F.size("_qy") > 0), year_class))
-    several = (F.size("_qr") > 0) | (F.size("_qy") >= 2)
+    out = out.withColumn("_class", F.when(several, F.when(on_topic & (F.size("_qy") > 0), year_class)))
     usable = F.when(F.size("_qr") > 0, F.col("_class")).when(
         F.col("_class") == 1, F.lit(None)).otherwise(F.col("_class"))
     best = F.min(usable).over(_per_query())
