@@ -2,9 +2,13 @@
 
 import re
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
+from corpusmill.operators import numbering as N
+from corpusmill.operators import ocr as O
+from corpusmill.operators import page_tables as P
 from corpusmill.operators import extraction as A
 from corpusmill.operators import ranking as K
 from corpusmill.operators import retrieval as R
@@ -60,3 +64,48 @@ def test_years_filter_hits_of_queries_with_several_years_only(spark):
         [(1, "học phí 2020-2021", "a", "học phí 2020-2021"), (1, "học phí 2020-2021", "b", "học phí 2022"), (2, "học phí 2020", "c", "học phí 2022")],
         "query_id long, query string, chunk_uid string, content string").withColumns({c: F.lit(None).cast("string") for c in ("title", "date", "source")})
     assert sorted(r.chunk_uid for r in K.explicit_year_filter(hits).collect()) == ["a", "c"]
+
+
+def test_heights_of_a_page_are_folded_without_copies_and_boxes_shuffled_once(spark):
+    rows = [(1, 1, x, y, f" w{x}.{y} ") for x in (5, 1) for y in (0, 20, 21, 41, 42, 90)] + [(1, 1, 0, 7, "  "), (1, 2, 0, None, "x"), (None, 1, 0, 3, "n")]
+    boxes = spark.createDataFrame(rows, "doc_id long, page long, x long, y long, text string")
+    lines = O.reading_lines(boxes)
+    got = {r.anchor: r.line for r in lines.collect()}
+    assert got == {0: "w1.0 w5.0 w1.20 w5.20", 21: "w1.21 w5.21 w1.41 w5.41", 42: "w1.42 w5.42", 90: "w1.90 w5.90"}
+    assert "Generate" not in _plan(lines)  # a row for each height met the boxes by height, in one more shuffle
+
+
+def test_small_tables_are_numbered_without_counting_blocks(spark):
+    rows = [(k, 5000 * i % 65537) for k in (1, 2) for i in range(9)]
+    df = spark.createDataFrame(rows, "k long, i long")
+    plain = N.dense_index(df, ["k"], ["i"], "n")
+    for whole in (F.lit(True), F.col("k") == 1, F.lit(None).cast("boolean")):
+        assert sorted(N.dense_index(df, ["k"], ["i"], "n", whole=whole).collect()) == sorted(plain.collect())
+    assert "HashAggregate" not in _plan(N.dense_index(df, ["k"], ["i"], "n", whole=F.lit(True)))
+
+
+def test_plain_tables_are_read_without_the_parser(monkeypatch):
+    html = "<TABLE border=1><tr><td>a &amp; <b>b</b><td colspan='2'>\n<th> c </tr>x<tr><td>1</table> y"
+    assert P._plain_rows(html) == P._parsed_rows(html) == [[["a &", "b"], [], ["c"]], [["1"]]]
+    odd = ["<table><tr><td>a < b</td></tr></table>", "<table><tr><td><!-- <td> -->x</table>", "<table><tr><td><table><tr><td>n</table></table>", "<tr><td>x", "<table><tr><td>a<br/>b</table>", "<table><tr><td>q</td x></table>", "a", ""]
+    assert all(P._plain_rows(h) is None for h in odd)
+    monkeypatch.setattr(P, "_Cells", None)
+    assert P._table_cells(pd.Series([html, None]))[0] == [["a & b", "", "c"], ["1"]]
+
+
+def test_plain_texts_take_the_short_way_with_the_same_result(spark):
+    texts = ["Phần  12 ", "2200000001 ", "a", "Tong  cong", "Tong cong", "1O5", "x0l", "a\u00a0b", "--", "", None, "K\u0301 a", "olf", "Một dòng – hai"]
+    df = spark.createDataFrame([(t,) for t in texts], "x string")
+    got = [r[0] for r in df.select(T.clean_text(F.col("x"))).collect()]
+    assert got == ["Phần 12", "2200000001", "a", "Tong cong", "Tổng cộng", "105", "x0l", "a b", "", "", "", "Ḱ a", "01", "Một dòng – hai"]
+    plain = [r[0] for r in df.select(T.is_plain(F.col("x"))).collect()]
+    assert plain == [True, True, True, True, False, False, False, False, False, False, False, False, False, True]
+
+
+def test_tables_that_fit_are_packed_at_once(spark):
+    md = "| a |\n|---|\n" + "\n".join(f"| {i} |" for i in range(4))
+    df = spark.createDataFrame([(md,), ("x\n\ny",)], "md string")
+    for size in (10, 20, len(md) - 1, len(md)):
+        parts = df.select(P.pack_table(F.col("md"), size)).collect()[0][0]
+        assert all(p.startswith("| a |\n|---|\n") and len(p) <= max(size, 20) for p in parts)
+        assert (parts == [md]) == (size >= len(md)) and "\n".join(p[12:] for p in parts) == md[12:]
