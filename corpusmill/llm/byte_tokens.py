@@ -17,7 +17,10 @@ WHITE = "\t-\r \x85\xa0  -     　"
 # Runs that byte-level tokenizers never join across: what stands between white space with
 # one space before it, and white space less the space that goes with the run behind it.
 RUN = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
+SPACED = re.compile(f" [^{WHITE}]")
 MARKS = ".,;:!?"
+# Runs tokenised as one text.
+TOGETHER = 1000
 
 
 def default_tokenizer() -> str:
@@ -39,9 +42,36 @@ class ByteSpelled:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.vocabulary = self.tokenizer.get_vocab_size()
+        # A byte-level token has a character for each of its bytes.
+        tokens = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.widths = np.zeros(max(tokens.values(), default=0) + 1, np.int64)
+        self.widths[list(tokens.values())] = [len(t) for t in tokens]
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    def _spell(self, runs: list[str]) -> None:
+        found = self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)
+        for r, e in zip(runs, found):
+            self.known[r] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+
+    def _spell_together(self, runs: list[str]) -> None:
+        """Runs that begin with a space, as one text, whose ids are cut where the bytes of a
+        run end; run by run if a token should reach across or bytes have no token.
+        """
+        [whole] = self.tokenizer.encode_batch_fast(["".join(runs)], add_special_tokens=False)
+        ids = np.array(whole.ids, "<u4")
+        if len(ids) == 0 or ids.max() >= len(self.widths):
+            return self._spell(runs)
+        token_ends = np.cumsum(self.widths[ids])
+        run_ends = np.cumsum(np.fromiter((len(r.encode()) for r in runs), np.int64, len(runs)))
+        last = np.searchsorted(token_ends, run_ends)
+        if token_ends[-1] != run_ends[-1] or (token_ends[last] != run_ends).any():
+            return self._spell(runs)
+        packed, start = ids.tobytes(), 0
+        for r, end in zip(runs, (4 * last + 4).tolist()):
+            self.known[r] = packed[start:end]
+            start = end
+
     def _look_up(self, runs: set[str]) -> None:
         if len(self.known) > GENERATION:
             self.older, self.known = self.known, {}
@@ -53,9 +83,10 @@ class ByteSpelled:
         new = met - again
         marked = [r for r in new if _marked(r)]
         spelled = list((new.difference(marked) | {r[:-1] for r in marked} | {r[-1] for r in marked}).difference(known))
-        found = self.tokenizer.encode_batch_fast(spelled, add_special_tokens=False)
-        for r, e in zip(spelled, found):
-            known[r] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+        spaced = [r for r in spelled if SPACED.match(r)]
+        for at in range(0, len(spaced), TOGETHER):
+            self._spell_together(spaced[at:at + TOGETHER])
+        self._spell([r for r in spelled if not SPACED.match(r)])
         for r in marked:
             known[r] = known[r[:-1]] + known[r[-1]]
 
@@ -72,7 +103,7 @@ class ByteSpelled:
             if split is None:
                 yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
             else:
-                yield b"".join([known[r] for r in split])
+                yield b"".join(map(known.__getitem__, split))
 
 
 @lru_cache(2)

@@ -41,6 +41,23 @@ def test_runs_are_tokenised_as_whole_texts(texts):
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_runs_with_a_space_are_tokenised_together(tokenizer):
+    texts = [" ".join(f"{'añ' * (i % 7)}x{i}" for i in range(k, 3000, 3)) + " 's  \n\x1c z's" for k in range(3)]
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    spelled, calls = byte_tokens.ByteSpelled(byte_tokens.default_tokenizer()), []
+
+    class Counted:
+        def encode_batch_fast(self, runs, **options):
+            calls.append(len(runs))
+            return tokenizer.encode_batch_fast(runs, **options)
+
+    spelled.tokenizer = Counted()
+    assert [np.frombuffer(t, "<u4").tolist() for t in spelled.texts(texts)] == want and sum(calls) < 30
+    spelled.known.clear()
+    spelled.widths[:] = 1  # tokens that seem to reach across: run by run
+    assert [np.frombuffer(t, "<u4").tolist() for t in spelled.texts(texts)] == want and sum(calls) > 3000
+
+
 def _read(data, reads=None):
     return Reader(lambda at, n: (reads.append((at, n)) if reads is not None else None, data[at:at + n])[1], len(data))
 
