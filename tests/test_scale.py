@@ -109,3 +109,13 @@ def test_tables_that_fit_are_packed_at_once(spark):
         parts = df.select(P.pack_table(F.col("md"), size)).collect()[0][0]
         assert all(p.startswith("| a |\n|---|\n") and len(p) <= max(size, 20) for p in parts)
         assert (parts == [md]) == (size >= len(md)) and "\n".join(p[12:] for p in parts) == md[12:]
+
+
+def test_only_postings_of_asked_words_are_shuffled(spark):
+    rows = [(f"c{i:02d}", "t", f"common w{i} " + " ".join(f"x{i}y{k}" for k in range(200))) for i in range(30)]
+    chunks = spark.createDataFrame(rows, "chunk_uid string, title string, content string").withColumn("content_folded", F.lit(""))
+    queries = spark.createDataFrame([(1, ["common", "common w7", "w7 w8"])], "query_id long, keywords array<string>")
+    postings = R._asked_postings(R.token_index(chunks), R.needles(queries)).where("field = 'content'")
+    assert 32 <= postings.count() < 100
+    got = R.keyword_search(chunks, queries, 5, broadcast_bytes=0).orderBy("rank").collect()
+    assert [x.chunk_uid for x in got] == ["c00", "c01", "c02", "c03", "c04", "c07"]
