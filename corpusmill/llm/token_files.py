@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -25,15 +26,21 @@ def _opened(folder: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
 
 
-def _in_parts(ids: list, texts: list) -> Iterator[tuple[list, list]]:
-    """Slices of a batch whose texts are tokenised together."""
-    at, size = 0, 0
-    for k, text in enumerate(texts):
-        size += len(text or "")
-        if size > BATCH_CHARS:
-            yield ids[at:k + 1], texts[at:k + 1]
-            at, size = k + 1, 0
-    yield ids[at:], texts[at:]
+def _in_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows whose texts are tokenised together."""
+    held, size = [], 0
+    for batch in batches:
+        at = 0
+        for k, chars in enumerate(pc.utf8_length(batch.column("_text")).to_pylist()):
+            size += (chars or 0) + 16
+            if size > BATCH_CHARS:
+                held.append(batch.slice(at, k + 1 - at))
+                yield pa.Table.from_batches(held)
+                held, at, size = [], k + 1, 0
+        if at < len(batch):
+            held.append(batch.slice(at))
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def _write_shard(folder: str, tokenizer: str, end_id: int, frame_bytes: int):
@@ -45,14 +52,14 @@ def _write_shard(folder: str, tokenizer: str, end_id: int, frame_bytes: int):
         shard = task.partitionId()
         path = f"{root}/ids-{shard:06d}-{task.taskAttemptId()}.zst"
         writer = out = None
-        for batch in batches:
-            for ids, texts in _in_parts(batch.column("_id").to_pylist(), batch.column("_text").to_pylist()):
-                for doc_id, tokens in zip(ids, spelled.texts(texts)):
-                    if writer is None:
-                        system.create_dir(root, recursive=True)
-                        out = system.open_output_stream(path, compression=None)
-                        writer = Writer(out, width, frame_bytes)
-                    writer.add(doc_id, tokens + end)
+        for part in _in_parts(batches):
+            texts = part.column("_text").combine_chunks()
+            for doc_id, tokens in zip(part.column("_id").to_pylist(), spelled.texts(texts)):
+                if writer is None:
+                    system.create_dir(root, recursive=True)
+                    out = system.open_output_stream(path, compression=None)
+                    writer = Writer(out, width, frame_bytes)
+                writer.add(doc_id, tokens + end)
         if writer is not None:
             writer.close()
             out.close()

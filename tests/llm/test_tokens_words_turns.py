@@ -1,6 +1,7 @@
 """Token files, spelling variants and conversation repair against brute force, round trips and SQL."""
 
 import io
+import itertools
 import random
 import re
 import string
@@ -10,6 +11,7 @@ from functools import lru_cache
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
 from hypothesis import given, settings
@@ -58,6 +60,46 @@ def test_runs_with_a_space_are_tokenised_together(tokenizer):
     assert [np.frombuffer(t, "<u4").tolist() for t in spelled.texts(texts)] == want and sum(calls) > 3000
 
 
+def test_distinct_runs_of_texts_are_looked_up_once(tokenizer):
+    asked = Counter()
+
+    class Asked(dict):
+        def get(self, key, default=None):
+            asked[key] += 1
+            return super().get(key, default)
+
+        def __getitem__(self, key):
+            asked[key] += 1
+            return super().__getitem__(key)
+
+    texts = ["Une ville,\nthe house. " * 500 + "end", "\nthe ville,\n", "", None] * 5
+    want = [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    spelled = byte_tokens.ByteSpelled(byte_tokens.default_tokenizer())
+    spelled.known = Asked()
+    for given in (texts, pa.array(texts)):
+        assert [np.frombuffer(t, "<u4").tolist() for t in spelled.texts(given)] == want
+    assert len(asked) < 30 and max(asked.values()) < 10
+
+
+def test_short_texts_of_all_kinds_of_white_space(tokenizer):
+    texts = ["".join(t) for n in range(7) for t in itertools.product(" \n\ta,", repeat=n)]
+    texts += ["".join(t) for t in itertools.product("\n \r\xa0\u2009é9", repeat=5)]
+    want = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    got = byte_tokens.ByteSpelled(byte_tokens.default_tokenizer()).texts(texts)
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == want
+
+
+def test_parts_hold_whole_batches_or_rows(monkeypatch):
+    monkeypatch.setattr(token_files, "BATCH_CHARS", 100)
+    texts = ["a" * n for n in (1, 2, 0, 300, 5, 5)] + [None] * 20
+    rows = pa.table({"_id": range(len(texts)), "_text": pa.array(texts)})
+    for size in (1, 4, 100):
+        parts = list(token_files._in_parts(iter(rows.to_batches(size))))
+        assert pa.concat_tables(parts).equals(rows)
+        assert [len(p) for p in parts] == [4, 6, 7, 7, 2]
+    assert list(token_files._in_parts(iter([]))) == []
+
+
 def _read(data, reads=None):
     return Reader(lambda at, n: (reads.append((at, n)) if reads is not None else None, data[at:at + n])[1], len(data))
 
