@@ -12,6 +12,7 @@ from corpusmill.operators import page_tables as P
 from corpusmill.operators import extraction as A
 from corpusmill.operators import ranking as K
 from corpusmill.operators import retrieval as R
+from corpusmill.session import written
 
 
 def _plan(df):
@@ -119,3 +120,14 @@ def test_only_postings_of_asked_words_are_shuffled(spark):
     assert 32 <= postings.count() < 100
     got = R.keyword_search(chunks, queries, 5, broadcast_bytes=0).orderBy("rank").collect()
     assert [x.chunk_uid for x in got] == ["c00", "c01", "c02", "c03", "c04", "c07"]
+
+
+def test_packed_files_are_not_taken_for_small_tables(spark):
+    # A million rows of texts that pack well: some MB as a file, many times that as rows.
+    wide = spark.range(1_000_000).select(F.xxhash64("id").alias("id"), F.repeat(F.lit("text "), 40).alias("text"))
+    stored = written(wide, "packed")
+    size = int(str(stored._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    asked = spark.range(1_000_000).select(F.xxhash64("id").alias("id"))
+    plan = _plan(written(asked.repartition(4), "asked").join(stored, "id"))
+    assert size > 64_000_000
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
