@@ -131,3 +131,26 @@ def test_packed_files_are_not_taken_for_small_tables(spark):
     plan = _plan(written(asked.repartition(4), "asked").join(stored, "id"))
     assert size > 64_000_000
     assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+
+
+def test_blank_and_letter_classes_hold_what_they_held(spark):
+    points = spark.range(1, 0x30000).where("id < 55296 OR id > 57343").select(F.col("id").cast("int").alias("p"))
+    chars = points.select("p", F.decode(F.unhex(F.lpad(F.hex("p"), 8, "0")), "UTF-32").alias("c"))
+    old_plain = r"\A[ -~]*+[ -~\x{A1}-\x{AC}\x{AE}-\x{2FF}\x{1E00}-\x{1EFF}\x{2010}-\x{2027}]*+\z"
+    pairs = [(f"[{T.WS}]", "(?U)" + T._BLANK), ("[^0-9A-Za-z]", r"\P{Alnum}"), (old_plain, T._PLAIN)]
+    other = chars.select(*[F.count_if(F.col("c").rlike(a) != F.col("c").rlike(b)).alias(f"n{i}") for i, (a, b) in enumerate(pairs)]).first()
+    assert list(other) == [0, 0, 0]
+    assert chars.where(F.col("c").rlike("(?U)" + T._BLANK)).count() == len(T.WS_CHARS)
+
+
+def test_lines_of_contexts_are_normalised_and_folded_once(spark):
+    contexts = spark.createDataFrame([(1, "[Văn bản]\nĐiều 1. Đối tượng:\n- <b>Con</b> hộ nghèo\nThời gian nộp hồ sơ :\n2. Ký túc xá\nhạn  cuối\nhạn cuối")], "query_id long, context string")
+    sections = A.generic_sections(contexts)
+    assert _plan(sections).count("Normalizer, compose, ") == 1
+    # The line itself, and the folded form of a heading, of a numbered form, and of a sentence that lost a mark.
+    assert _plan(sections).count("Normalizer, decompose, ") <= 4
+    assert [(r.idx, r.title, r["items"]) for r in sections.orderBy("idx").collect()] == [
+        (0, "Điều 1. Đối tượng", ["Con hộ nghèo"]), (1, "Thời gian nộp hồ sơ", ["Ký túc xá", "hạn cuối"])]
+    four = A.four_sections(contexts)
+    assert _plan(four).count("Normalizer, compose, ") == 1
+    assert [(r.section, r["items"]) for r in four.collect()] == [("Thời gian nộp hồ sơ", ["Ký túc xá", "hạn cuối"])]
