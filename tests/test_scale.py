@@ -154,3 +154,18 @@ def test_lines_of_contexts_are_normalised_and_folded_once(spark):
     four = A.four_sections(contexts)
     assert _plan(four).count("Normalizer, compose, ") == 1
     assert [(r.section, r["items"]) for r in four.collect()] == [("Thời gian nộp hồ sơ", ["Ký túc xá", "hạn cuối"])]
+
+
+def test_each_correction_waits_for_its_own_stem(spark):
+    rows = [("Tong cong 5 Noi dung",), ("tong cong Noİ dung",), ("? Ngân Chuo’ng chuong",), ("Tién dién nuóc uóng cá nám",), ("2o5 olf 0L Kh6a",), ("hoá đơn số 6",), (None,)]
+    fixed = T.fix_ocr(F.col("x"))
+    frame = spark.createDataFrame(rows, "x string").select(fixed.alias("x"))
+    plan = _plan(frame)
+    # A test of the lower-cased text before each rule, and one before all.
+    assert len(re.findall(r"Contains\(lower\(|contains\(lower\(", plan)) >= len(T.vocab.OCR_FIXES)
+    got = [r.x for r in frame.collect()]
+    assert got == ["Tổng cộng 5 Nội dung", "Tổng cộng Nội dung", "- Ngân Chương Chương", "Tiền điện nước uống cả năm", "205 01 01 Khóa", "hoá đơn số 6", ""]
+    plain = spark.createDataFrame(rows, "x string").select(T.is_plain(F.col("x")).alias("p")).collect()
+    assert [r.p for r in plain] == [False, False, False, False, False, True, False]
+    blank = spark.createDataFrame([(" \t　\x1c",), ("",), (" a",), (None,)], "x string").select(T.is_blank(F.col("x")).alias("b")).collect()
+    assert [r.b for r in blank] == [True, True, False, None]
